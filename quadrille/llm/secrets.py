@@ -94,8 +94,8 @@ def _windows(candidate: Column, start: Column, cls: CharClass) -> Column:
         after = F.transform(acc["counts"], lambda c, i: c - (i == x["old"]).cast("int") + (i == x["new"]).cast("int"))
 
         def change(i: Column) -> Column:
-            was, now = F.get(acc["counts"], i), F.get(after, i)
-            return F.coalesce(F.element_at(term, now + 1) - F.element_at(term, was + 1), F.lit(0.0))
+            was, now = (F.coalesce(F.get(n, i), F.lit(0)) for n in (acc["counts"], after))  # none leaves at first: i = -1
+            return F.get(term, now) - F.get(term, was)
 
         both = change(x["new"]) + F.when(x["old"] == x["new"], 0.0).otherwise(change(x["old"]))
         total, seen = acc["sum"] + both, acc["seen"] + 1
@@ -155,12 +155,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and digests of ``scan``: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    count = {k: F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(3)}
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
     return scan(docs, id_col, text_col).select(
         "doc_id",
-        count[0].alias("n_assign"),
-        count[1].alias("n_access"),
-        count[2].alias("n_hex"),
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
