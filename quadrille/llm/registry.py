@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import chat_format, exact_dedup, packing, quality, secrets, simhash, token_counts, warc
+from quadrille.llm import chat_format, exact_dedup, packing, quality, secrets, simhash, token_counts, vector_search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_additive_quantisation": op2_additive_quantisation,
     "op3_token_counts": op3_token_counts,
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
