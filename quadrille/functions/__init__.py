@@ -1 +1,25 @@
-"""See README.md for the layout."""
+"""Column helpers for scalar functions that Spark spells differently, and spatial aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def truncate(x: Column, digits: int = 0) -> Column:
+    """``x`` cut towards zero after ``digits`` decimals."""
+    scale = F.lit(10.0**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
+
+
+def similar_to(x: Column, pattern: str) -> Column:
+    from quadrille.plans.literals import similar
+
+    return x.rlike(similar(pattern))
+
+
+def union_agg(df: DataFrame, keys: list[str], geom: str, name: str = "geom", spread: int = 16) -> DataFrame:
+    """Union of the geometries of each group. Parts of a group are united apart first, ``spread`` of them, so no task
+    holds a whole group's geometries."""
+    part = F.pmod(F.xxhash64(geom), F.lit(spread)).alias("__part")
+    first = df.groupBy(*keys, part).agg(F.call_function("ST_UnionAll", F.collect_list(geom)).alias("__g"))
+    return first.groupBy(*keys).agg(F.call_function("ST_UnionAll", F.collect_list("__g")).alias(name))
