@@ -174,7 +174,10 @@ class Engine:
     def _rows(self, feature: FeatureTable, rest: str) -> DataFrame:
         listed = re.match(r"\(((?:[^()'])*)\)\s*(?=SELECT\b|VALUES\b|WITH\b)", rest, re.I)
         names = [c.strip().strip("`") for c in listed[1].split(",")] if listed else feature.read().columns
-        rows = self.spark.sql(rest[listed.end() :] if listed else rest)
+        query = (rest[listed.end() :] if listed else rest).strip()
+        if re.match(r"VALUES\b", query, re.I):  # Spark's inline tables take no functions that are not its own
+            query = " UNION ALL ".join("SELECT " + row.strip()[1:-1] for row in split_top(query[6:]))
+        rows = self.spark.sql(query)
         if len(rows.columns) != len(names):
             raise ValueError(f"{len(rows.columns)} values for {len(names)} columns")
         return rows.toDF(*names)

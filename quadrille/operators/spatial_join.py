@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.geometry.native import Geometry, as_wkb, exact
+from quadrille.geometry.native import Geometry, Point, as_wkb, exact
 
 PREDICATES = ("contains", "within", "intersects", "crosses", "equals", "overlaps", "touches", "covers", "coveredby", "dwithin")
 HOW = {"inner": "inner", "left": "left", "left_outer": "left", "right": "right", "right_outer": "right", "full": "full", "outer": "full", "left_semi": "left_semi", "left_anti": "left_anti"}
@@ -18,12 +18,12 @@ HOW = {"inner": "inner", "left": "left", "left_outer": "left", "right": "right",
 LEVEL_FACTOR, LEVELS = 8.0, 12
 
 
-def _cells(df: DataFrame, g: Geometry, size: float, within: float, most_cells: int, prefix: str) -> DataFrame:
+def _cells(df: DataFrame, g: Geometry, size: float, within: float, most_cells: int, top: int, prefix: str) -> DataFrame:
     """``df`` with envelope columns and its level, the finest at which the envelope meets ``most_cells`` at most."""
     x0, y0, x1, y1 = g.bounds()
     out = df.select("*", (x0 - within).alias(f"{prefix}x0"), (y0 - within).alias(f"{prefix}y0"), (x1 + within).alias(f"{prefix}x1"), (y1 + within).alias(f"{prefix}y1"))
-    level = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
+    level = F.lit(top)
+    for k in reversed(range(top)):
         w = size * LEVEL_FACTOR**k
         n = (F.floor(F.col(f"{prefix}x1") / w) - F.floor(F.col(f"{prefix}x0") / w) + 1.0) * (F.floor(F.col(f"{prefix}y1") / w) - F.floor(F.col(f"{prefix}y0") / w) + 1.0)
         level = F.when(n <= most_cells, F.lit(k)).otherwise(level)
@@ -40,12 +40,18 @@ def _dealt(df: DataFrame, size: float, prefix: str, level: Column) -> DataFrame:
     return out.withColumn("__cy", F.explode(span("y0", "y1")))
 
 
-def cell_size(df: DataFrame, g: Geometry, within: float = 0.0) -> float:
-    """A grid width near the average extent of the envelopes; one aggregation over their columns."""
+def extents(df: DataFrame, g: Geometry) -> tuple[float, float, float]:
+    """Average and largest side of the envelopes, and the width of all of them; one aggregation over their columns."""
     x0, y0, x1, y1 = g.bounds()
-    row = df.agg(F.avg(x1 - x0).alias("w"), F.avg(y1 - y0).alias("h"), F.max(x1).alias("a"), F.min(x0).alias("b")).first()
-    size = max(row["w"] or 0.0, row["h"] or 0.0, 2 * within)
-    return size if size > 0 else max(((row["a"] or 0.0) - (row["b"] or 0.0)) / 256, 1e-6)
+    w, h = x1 - x0, y1 - y0
+    row = df.agg(F.avg(w).alias("w"), F.avg(h).alias("h"), F.max(w).alias("mw"), F.max(h).alias("mh"), (F.max(x1) - F.min(x0)).alias("all")).first()
+    v = {k: row[k] or 0.0 for k in ("w", "h", "mw", "mh", "all")}
+    return max(v["w"], v["h"]), max(v["mw"], v["mh"]), v["all"]
+
+
+def _top_level(largest: float, size: float, most_cells: int) -> int:
+    """The level at which an envelope with sides of ``largest`` meets ``most_cells`` cells at most."""
+    return next((k for k in range(LEVELS - 1) if (largest / (size * LEVEL_FACTOR**k) + 2) ** 2 <= most_cells), LEVELS - 1)
 
 
 def spatial_join(
@@ -75,7 +81,10 @@ def spatial_join(
     if clash := set(left.columns) & set(right.columns):
         raise ValueError(f"both sides have columns {sorted(clash)}")
     within = float(distance or 0.0)
-    size = size or cell_size(right, right_geom, within)
+    left_largest = 2 * within if isinstance(left_geom, Point) else extents(left, left_geom)[1] + 2 * within
+    average, largest, everything = (0.0, 0.0, 0.0) if isinstance(right_geom, Point) and (size or within) else extents(right, right_geom)
+    size = size or max(average, 2 * within) or max(everything / 256, 1e-6)
+    top = _top_level(max(left_largest, largest), size, most_cells)
     lid, rid = F.monotonically_increasing_id().alias("__l"), F.monotonically_increasing_id().alias("__r")
     outer = kind != "inner"
     lrows = left.select("*", lid) if outer else left
@@ -84,13 +93,13 @@ def spatial_join(
     if test is None:
         a, b = as_wkb(left_geom), as_wkb(right_geom)
         test = F.call_function("ST_DWithin", a, b, F.lit(within)) if predicate == "dwithin" else F.call_function("__jts_test", F.lit(predicate), a, b)
-    a = _cells(lrows, left_geom, size, within, most_cells, "__a")
-    b = _cells(rrows, right_geom, size, 0.0, most_cells, "__b")
-    # each side meets the other at the coarser of the two levels: a row is dealt once for every level of the other side
-    a = _dealt(a.withColumn("__m", F.explode(F.sequence(F.col("__alevel"), F.lit(LEVELS - 1)))), size, "__a", F.col("__m"))
-    b = _dealt(b.withColumn("__m", F.explode(F.sequence(F.col("__blevel"), F.lit(LEVELS - 1)))), size, "__b", F.col("__m"))
-    levels = [r[0] for r in _levels(lrows, rrows, left_geom, right_geom, size, within, most_cells)]
-    a, b = (x.where(F.col("__m").isin(levels)).drop("__m") for x in (a, b))
+    a = _cells(lrows, left_geom, size, within, most_cells, top, "__a")
+    b = _cells(rrows, right_geom, size, 0.0, most_cells, top, "__b")
+    if top == 0:
+        a, b = _dealt(a, size, "__a", F.lit(0)), _dealt(b, size, "__b", F.lit(0))
+    else:  # two rows meet at the coarser of their levels, so a row is dealt at its own level and all above
+        a = _dealt(a.withColumn("__m", F.explode(F.sequence(F.col("__alevel"), F.lit(top)))), size, "__a", F.col("__m")).drop("__m")
+        b = _dealt(b.withColumn("__m", F.explode(F.sequence(F.col("__blevel"), F.lit(top)))), size, "__b", F.col("__m")).drop("__m")
     b = b.withColumnsRenamed({"__lv": "__blv", "__cx": "__bcx", "__cy": "__bcy"})
     w = F.lit(size) * F.pow(F.lit(LEVEL_FACTOR), F.col("__lv"))
     meet = (
@@ -112,13 +121,6 @@ def spatial_join(
     return rows.join(rrows, F.col("__rr") == F.col("__r"), kind).select(*left.columns, *right.columns)
 
 
-def _levels(left: DataFrame, right: DataFrame, lg: Geometry, rg: Geometry, size: float, within: float, most_cells: int) -> list:
-    """The levels in use, twelve at most; sides with points alone use one."""
-    a = _cells(left, lg, size, within, most_cells, "__a").select(F.col("__alevel").alias("v"))
-    b = _cells(right, rg, size, 0.0, most_cells, "__b").select(F.col("__blevel").alias("v"))
-    return a.unionAll(b).distinct().collect()
-
-
 def nested_loop(left: DataFrame, right: DataFrame, predicate: str, left_geom: Geometry, right_geom: Geometry, how: str = "inner", distance: float | None = None, extra: Column | None = None) -> DataFrame:
     """The same join by comparing all pairs. Only a yardstick for tests on small tables."""
     test = exact(predicate, left_geom, right_geom, distance)

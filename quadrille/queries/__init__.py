@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.queries import relational
+from quadrille.queries import relational, spatial, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**relational.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES}
+QUERIES: dict[str, Query] = {**relational.QUERIES, **spatial.QUERIES, **tables.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **spatial.ORACLES, **tables.ORACLES}
