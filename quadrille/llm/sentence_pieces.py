@@ -1,403 +1,125 @@
 """SentencePiece encoding and decoding with distinct sampled segmentations.
 
-A text is the lattice of its pieces; a path's weight is the product of its pieces' weights. ``samples`` paths are drawn
-without replacement by a perturbed A-star search: the whole lattice gets a Gumbel value; the region with the largest
-value is taken off the queue, its path is drawn edge by edge, and what is left of the region is split where paths first
-leave that path, each part with a Gumbel value below its parent's. Since each part's mass is known exactly, the values
-are exact bounds, and paths come off in falling perturbed log-probability. The value of the next region gives every
+A text is the lattice of its pieces; a path's weight is the product of its pieces' weights. Samples are drawn without
+replacement by a perturbed A-star search: the whole lattice gets a Gumbel value; the region with the largest value is
+taken off the queue, its path is drawn edge by edge, and what is left of the region is split where paths first leave
+that path, each part with a Gumbel value below its parent's. Since each part's mass is known exactly, the values are
+exact bounds, and paths come off in falling perturbed log-probability. The value of the next region gives every
 sample's inclusion score. All randomness is a hash of the row key and the place in the text, so neither partitions nor
 repeated tasks change a draw.
 
-Pieces never join over a gap between words, and characters that no piece has can only be bytes, so a lattice is a chain
-of word lattices. Each distinct word's lattice is built once and its occurrences in many rows are walked together.
+The search runs in the JVM (``java/Segmenter.java``): it is a few operations per character and sample, without a
+vectorised form. Pieces never join over a gap between words, so the lattice is a chain of word lattices; those of
+frequent words are kept, and memory grows with the pieces of one text only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import os
+import shutil
+import subprocess
+import tempfile
+import zipfile
+from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyspark
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 TEMPERATURE = 0.5
 SPACE = "▁"
-#: A worker starts its store of word lattices anew above this many edges, and walks about so many characters at once.
-STORED_EDGES, WALK_CHARS = 2_000_000, 1_000_000
-_BARE = "\x00"  # marks words without a space before them
+SOURCE = Path(__file__).with_name("java") / "Segmenter.java"
 
+Piece = tuple[str, int, float, bytes]  # kind (piece, byte or weight), id, log weight, UTF-8
 
-@dataclass
-class Vocabulary:
-    """Pieces with their log weights, byte pieces and their decoded bytes; its size is that of the model file."""
 
-    pieces: dict[str, tuple[int, float]]
-    byte_ids: list[int]
-    byte_weight: float
-    raw: list[bytes]
-    whole: bool = False  # pieces cross gaps between words: a text is one word
+def vocabulary(path: str) -> list[Piece]:
+    """The pieces of a model with log weights, read on the driver. Where scores are merge ranks (0, -1, -2, ...), as in
+    a BPE model, the weight of a piece falls with its rank as in Zipf's law; otherwise scores are log-probabilities."""
+    import sentencepiece
 
-    @staticmethod
-    def load(path: str) -> Vocabulary:
-        """Read a model on the driver. Where scores are merge ranks (0, -1, -2, ...), as in a BPE model, the weight of
-        a piece falls with its rank as in Zipf's law; otherwise scores are log-probabilities."""
-        import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    n = sp.get_piece_size()
+    own = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+    scores = {i: sp.get_score(i) for i in own}
+    ranks = all(s <= 0 and s == int(s) for s in scores.values())
+    out: list[Piece] = [("piece", i, -math.log(10.0 - s) if ranks else s, sp.id_to_piece(i).encode()) for i, s in scores.items()]
+    out += [("byte", sp.piece_to_id(f"<0x{b:02X}>"), 0.0, bytes([b])) for b in range(256)]
+    return [*out, ("weight", 0, (-math.log(10.0 + n) if ranks else min(scores.values(), default=0.0)) - 1.0, b"")]
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        own = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        scores = {i: sp.get_score(i) for i in own}
-        ranks = all(s <= 0 and s == int(s) for s in scores.values())
-        weight = {i: -math.log(10.0 - s) if ranks else s for i, s in scores.items()}
-        pieces = {sp.id_to_piece(i): (i, weight[i]) for i in own}
-        byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        raw = [sp.id_to_piece(i).replace(SPACE, " ").encode() if i in weight else b"" for i in range(n)]
-        for b, i in enumerate(byte_ids):
-            raw[i] = bytes([b])
-        crossing = any(SPACE in p.lstrip(SPACE) for p in pieces)
-        return Vocabulary(pieces, byte_ids, (-math.log(10.0 + n) if ranks else min(weight.values(), default=0.0)) - 1.0, raw, crossing)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of piece ids; the space that encoding puts before a text is taken off."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass").removeprefix(" ")
+def decoder(pieces: list[Piece]):
+    """A function from piece ids to text; the space that encoding puts before a text is taken off."""
+    raw = {i: b if kind == "byte" else b.replace(SPACE.encode(), b" ") for kind, i, _, b in pieces if kind != "weight"}
 
+    def decode(ids) -> str:
+        return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "surrogatepass").removeprefix(" ")
 
-def words(text: str, whole: bool) -> list[str]:
-    """The chain of words of a text with its leading space, or of bare words after ``_BARE``. Runs of spaces stay with
-    the word after them; a line end is a word of its own."""
-    if whole:
-        return [text]
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        parts = line.split(" ")
-        if i:
-            out.append(_BARE + "\n")
-            if parts[0]:
-                out.append(_BARE + parts[0])
-            parts = parts[1:]
-        if "" not in parts:
-            out += parts
-            continue
-        gap = 0
-        for k, p in enumerate(parts):
-            if p or k == len(parts) - 1:
-                out.append(" " * gap + p)
-                gap = 0
-            else:
-                gap += 1
-    return out
+    return decode
 
 
-class Lattices(dict):
-    """Word -> first node. Nodes and edges of all words stand in flat arrays; edges of a node by falling probability.
-
-    Edge arrays: share (probability up to and with the edge, within its node), log p, log(1 - p), target (-1: the word
-    ends) and piece (ids from ``len(raw)`` on are byte sequences of ``spelled``).
-    """
-
-    def __init__(self, vocabulary: Vocabulary, temperature: float):
-        self.v, self.temperature = vocabulary, temperature
-        self.trie: dict = {}
-        for p, (i, w) in vocabulary.pieces.items():
-            at = self.trie
-            for c in p:
-                at = at.setdefault(c, {})
-            at[""] = (i, w * temperature)
-        self.spelled: list[list[int]] = []
-        self.spelling: dict[str, int] = {}
-        self.arrays = [np.zeros(1 << 16, t) for t in (np.float64, np.float64, np.float64, np.int64, np.int64)]
-        self.first = np.zeros(1 << 16, np.int64)
-        self.edges = self.nodes = 0
-        self.new: tuple[list, ...] = ([], [], [], [], [])
-        self.new_first: list[int] = []
-
-    def flush(self) -> None:
-        """Move what was built since the last call into the flat arrays."""
-        n = len(self.new[0])
-        for k, part in enumerate(self.new):
-            while self.edges + n > len(self.arrays[k]):
-                self.arrays[k] = np.concatenate((self.arrays[k], np.zeros_like(self.arrays[k])))
-            self.arrays[k][self.edges : self.edges + n] = part
-            part.clear()
-        while self.nodes + len(self.new_first) > len(self.first):
-            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-        self.first[self.nodes : self.nodes + len(self.new_first)] = self.new_first
-        self.nodes, self.edges = self.nodes + len(self.new_first), self.edges + n
-        self.new_first.clear()
-
-    def _bytes(self, c: str) -> tuple[int, float]:
-        if c not in self.spelling:
-            self.spelling[c] = len(self.spelled)
-            self.spelled.append([self.v.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
-        i = self.spelling[c]
-        return len(self.v.raw) + i, self.v.byte_weight * self.temperature * len(self.spelled[i])
-
-    def __missing__(self, word: str) -> int:
-        # a U+2581 of the text itself is spelled in bytes, so decoding gives it back; ""-like marks are not needed
-        bare = word[:1] == _BARE
-        s = word[1:] if bare else SPACE + word.replace(" ", SPACE) if SPACE not in word else None
-        own: set[int] = set()
-        if s is None:
-            s = SPACE + word.replace(" ", SPACE)
-            own = {i + 1 for i, c in enumerate(word) if c == SPACE}
-        elif bare and SPACE in s:
-            own = {i for i, c in enumerate(s) if c == SPACE}
-        n, trie, exp, log = len(s), self.trie, math.exp, math.log
-        back = [0.0] * (n + 1)
-        ways: list[list] = [[]] * n
-        for i in range(n - 1, -1, -1):
-            found, at = [], trie
-            if i not in own:
-                for j in range(i, n):
-                    at = at.get(s[j])
-                    if at is None or j in own:
-                        break
-                    if "" in at:
-                        found.append((at[""][1] + back[j + 1], j + 1, at[""][0]))
-            if not found or found[0][1] != i + 1:
-                piece, weight = self._bytes(s[i])
-                found.append((weight + back[i + 1], i + 1, piece))
-            top = max(found)[0]
-            back[i] = top + log(sum([exp(f[0] - top) for f in found]))
-            found.sort(reverse=True)
-            ways[i] = found
-        start = self.nodes + len(self.new_first)
-        share, lp, lq, to, piece = self.new
-        for i in range(n):
-            self.new_first.append(self.edges + len(share))
-            total, z, last = 0.0, back[i], len(ways[i]) - 1
-            for k, (w, j, p) in enumerate(ways[i]):
-                q = exp(w - z)
-                total += q
-                share.append(total if k < last else 2.0)
-                lp.append(w - z)
-                rest = 1.0 - q if q < 0.5 else sum(exp(x[0] - z) for m, x in enumerate(ways[i]) if m != k)
-                lq.append(log(rest) if last and rest > 0 else -math.inf)
-                to.append(start + j if j < n else -1)
-                piece.append(p)
-        self[word] = start
-        return start
-
-
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = x + _GOLD
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _unit(h: np.ndarray, high: bool) -> np.ndarray:
-    """Uniform numbers in (0, 1) from one half of each hash."""
-    part = h >> np.uint64(32) if high else h & np.uint64(0xFFFFFFFF)
-    return (part.astype(np.float64) + 0.5) * 2.0**-32
-
-
-def _below(bound: float | np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of location ``mass``, conditioned on staying below ``bound``."""
-    return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
+_registered: dict[str, str] = {}
 
 
-@dataclass
-class _Row:
-    """Search state of one row: its key, word nodes, found paths and the waiting regions."""
+def _register(spark: SparkSession) -> str:
+    """Compile the kernel once per content against Spark's jars and make it callable; executors fetch it."""
+    session = f"{spark.sparkContext.applicationId}-{spark._jsparkSession.sessionUUID()}"
+    if session in _registered:
+        return _registered[session]
+    key = hashlib.sha256(SOURCE.read_bytes() + pyspark.__version__.encode()).hexdigest()[:16]
+    compiler = shutil.which("javac") or (os.environ.get("JAVA_HOME") and shutil.which("javac", path=f"{os.environ['JAVA_HOME']}/bin"))
+    if not compiler:
+        raise RuntimeError("sampled segmentations need javac on PATH or in JAVA_HOME of the driver")
+    folder = Path(tempfile.mkdtemp(prefix="quadrille-"))
+    subprocess.run([compiler, "-nowarn", "-d", str(folder), "-cp", f"{Path(pyspark.__file__).with_name('jars')}/*", str(SOURCE)], check=True, capture_output=True)
+    jar = folder / f"segmenter-{key}.jar"
+    with zipfile.ZipFile(jar, "w") as out:
+        for f in sorted(folder.rglob("*.class")):
+            out.write(f, f.relative_to(folder))
+    spark.sql(f"ADD JAR '{jar.resolve()}'")
+    result = "array<struct<sample:int,n_pieces:bigint,log_prob:double,perturbed:double,inclusion:double,ids:array<int>,ids_sha256:string,round_trip:boolean>>"
+    spark.udf.registerJavaFunction("__segmentations", "quadrille.llm.Segmenter", result)
+    return _registered.setdefault(session, "__segmentations")
 
-    key: np.uint64
-    nodes: np.ndarray
-    paths: list = field(default_factory=list)  # (value, edges, word of each edge, hashes)
-    queue: list = field(default_factory=list)  # (value, path it leaves, position, edges closed there)
 
+def _ship(spark: SparkSession, pieces: list[Piece]) -> str:
+    """Send the vocabulary to all executors as a file; its size is bounded by the model's. Returns the file's name."""
+    text = "".join(f"{kind}\t{i}\t{w!r}\t{b.hex()}\n" for kind, i, w, b in pieces)
+    name = f"pieces-{hashlib.sha256(text.encode()).hexdigest()[:16]}.tsv"
+    if not any(str(p).endswith(name) for p in spark.sparkContext.listFiles):
+        path = Path(tempfile.mkdtemp(prefix="quadrille-")).resolve() / name
+        path.write_text(text)
+        spark.sparkContext.addFile(str(path))
+    return name
 
-def _walk(store: Lattices, keys: np.ndarray, word: np.ndarray, node: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw a path through each word from ``node``: edges in order, their hashes, and pieces for each word."""
-    share, _, _, target, _ = store.arrays
-    base = _mix(keys ^ _mix(word.astype(np.uint64)))
-    at, live, step = node.copy(), np.arange(len(node)), step.astype(np.uint64)
-    count = np.zeros(len(node), np.int64)
-    trace = []
-    while len(live):
-        h = _mix(base[live] ^ (step[live] * _GOLD))
-        u, e = _unit(h, True), store.first[at[live]]
-        more = np.flatnonzero(u > share[e])
-        while len(more):
-            e[more] += 1
-            more = more[u[more] > share[e[more]]]
-        trace.append((live, e, h))
-        count[live] += 1
-        step[live] += np.uint64(1)
-        to = target[e]
-        at[live] = to
-        live = live[to >= 0]
-    begin = np.cumsum(count) - count
-    edges, hashes = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.uint64)
-    for k, (who, e, h) in enumerate(trace):
-        edges[begin[who] + k], hashes[begin[who] + k] = e, h
-    return edges, hashes, count
 
-
-def _search(store: Lattices, rows: list[_Row], samples: int) -> None:
-    """Take ``samples`` regions off each row's queue; what is left on it gives the next value."""
-    for turn in range(samples):
-        picked = []
-        for row in rows:
-            if turn == 0:
-                u = _unit(_mix(np.array([row.key], np.uint64)), True)[0]
-                picked.append((row, -math.log(-math.log(u)), None, 0, ()))
-            elif row.queue:
-                best = max(range(len(row.queue)), key=lambda i: row.queue[i][0])
-                value, parent, at, closed = row.queue.pop(best)
-                picked.append((row, value, parent, at, closed))
-        if not picked:
-            return
-        starts, plan = [], []
-        salt = _mix(np.array([turn + (1 << 48)], np.uint64))[0]  # no word has such a number
-        for row, value, parent, at, closed in picked:
-            if parent is None:
-                plan.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)))
-                starts.append((np.arange(len(row.nodes)), row.nodes, np.zeros(len(row.nodes), np.int64)))
-                continue
-            _, edges, word, hashes = row.paths[parent]
-            h = _mix(hashes[at : at + 1] ^ salt)
-            e = _other(store, edges[at], closed, _unit(h, True)[0])
-            w, to = int(word[at]), int(store.arrays[3][e])
-            plan.append((np.append(edges[:at], e), word[: at + 1], np.append(hashes[:at], h)))
-            done = at - int(np.searchsorted(word, w)) + 1
-            later = np.arange(w + 1, len(row.nodes))
-            if to >= 0:
-                starts.append((np.append(w, later), np.append(to, row.nodes[w + 1 :]), np.append(done, np.zeros(len(later), np.int64))))
-            else:
-                starts.append((later, row.nodes[w + 1 :], np.zeros(len(later), np.int64)))
-        keys = np.concatenate([np.full(len(s[0]), p[0].key ^ salt) for p, s in zip(picked, starts, strict=True)])
-        word, node, step = (np.concatenate([s[k] for s in starts]) for k in range(3))
-        edges, hashes, count = _walk(store, keys, word, node, step)
-        owner = np.repeat(word, count)
-        ends = np.concatenate(([0], np.cumsum(count)))[np.cumsum([len(s[0]) for s in starts])]
-        begin = 0
-        for (row, value, parent, at, closed), (e0, w0, h0), end in zip(picked, plan, ends, strict=True):
-            path = np.concatenate((e0, edges[begin:end]))
-            row.paths.append((value, path, np.concatenate((w0, owner[begin:end])), np.concatenate((h0, hashes[begin:end]))))
-            begin = end
-            _split(store, row, at if parent is not None else 0, closed if parent is not None else (), samples - turn)
-
-
-def _other(store: Lattices, edge: int, closed: tuple[int, ...], u: float) -> int:
-    """Another edge of the node of ``edge``: none of those taken there before, by renormalised probability."""
-    node = int(np.searchsorted(store.first[: store.nodes], edge, side="right")) - 1
-    first = int(store.first[node])
-    last = int(store.first[node + 1]) if node + 1 < store.nodes else store.edges
-    open_ = [e for e in range(first, last) if e not in closed]
-    p = np.exp(store.arrays[1][open_])
-    return open_[min(int(np.searchsorted(np.cumsum(p), u * p.sum())), len(open_) - 1)]
-
-
-def _split(store: Lattices, row: _Row, start: int, closed: tuple[int, ...], keep: int) -> None:
-    """Queue what the newest path leaves of its region, from position ``start`` on; only the ``keep`` largest can
-    come off later."""
-    value, edges, _, hashes = row.paths[-1]
-    lp = store.arrays[1][edges]
-    mass = np.cumsum(lp) - lp + store.arrays[2][edges]
-    mass = mass[start:]
-    taken = (*closed, int(edges[start])) if len(edges) else ()
-    if closed and len(mass):
-        node = int(np.searchsorted(store.first[: store.nodes], edges[start], side="right")) - 1
-        last = int(store.first[node + 1]) if node + 1 < store.nodes else store.edges
-        rest = [store.arrays[1][e] for e in range(int(store.first[node]), last) if e not in taken]
-        mass[0] = float(lp[:start].sum()) + (math.log(sum(map(math.exp, rest))) if rest else -math.inf)
-    if not len(mass):
-        return
-    values = _below(value, mass, _unit(_mix(hashes[start:]), False))
-    best = np.argpartition(values, -keep)[-keep:] if len(values) > keep else np.arange(len(values))
-    for t in best:
-        if values[t] > -np.inf:
-            row.queue.append((float(values[t]), len(row.paths) - 1, start + int(t), taken if t == 0 else (int(edges[start + t]),)))
-
-
-def _results(store: Lattices, row: _Row) -> Iterator[tuple[int, np.ndarray, float, float, float]]:
-    """sample, piece ids, log-probability, perturbed value, inclusion score."""
-    following = max((q[0] for q in row.queue), default=-math.inf)
-    for i, (value, edges, _, _) in enumerate(row.paths):
-        logp = float(store.arrays[1][edges].sum())
-        ids = store.arrays[4][edges]
-        n = len(store.v.raw)
-        if len(far := np.flatnonzero(ids >= n)):
-            parts, begin = [], 0
-            for f in far:
-                parts += [ids[begin:f], np.array(store.spelled[ids[f] - n], np.int64)]
-                begin = f + 1
-            ids = np.concatenate([*parts, ids[begin:]])
-        gone = logp - following
-        yield i, ids, logp, value, 1.0 if gone > 30 else -math.expm1(-math.exp(gone))
-
-
-OUT = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double"
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, temperature: float = TEMPERATURE, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | list[Piece] = MODEL, samples: int = SAMPLES, temperature: float = TEMPERATURE, digest: bool = False) -> DataFrame:
     """Up to ``samples`` distinct segmentations of each row's whole text: doc_id, sample (from 0, by falling perturbed
     log-probability), n_pieces, log_prob, perturbed, inclusion, and ids (array of piece ids) or, with ``digest``,
     ids_sha256 (of the ids as little-endian 32-bit integers) and round_trip (whether decoding gives the text back).
 
     A row has fewer samples where its lattice has fewer paths. Null and empty texts have one sample without pieces,
     with log-probability 0 and inclusion 1. Rows with equal keys and texts, null keys among them, get equal samples.
-    Other columns are not read; nothing is shuffled; the vocabulary is broadcast and bounded by its file.
+    A text's own U+2581 is spelled in bytes, so it is not taken for a space. Other columns are not read; nothing is
+    shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    spark = docs.sparkSession
+    name, file = _register(spark), _ship(spark, vocabulary(model) if isinstance(model, str) else model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def work(store: Lattices, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, keys = batch.column(2).to_pylist(), np.asarray(batch.column(1)).view(np.uint64)
-        chains = [list(map(store.__getitem__, words(t, store.v.whole))) if t else [] for t in texts]
-        store.flush()
-        todo = [_Row(_mix(k[None])[0], np.array(c, np.int64)) for k, c in zip(keys, chains, strict=True)]
-        _search(store, [r for r in todo if len(r.nodes)], samples)
-        at, cols = [], [[] for _ in range(7)]
-        for i, row in enumerate(todo):
-            got = list(_results(store, row)) if len(row.nodes) else [(0, np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
-            for sample, ids, logp, value, inclusion in got:
-                at.append(i)
-                for c, x in zip(cols, (sample, len(ids), logp, value, inclusion), strict=False):
-                    c.append(x)
-                if digest:
-                    cols[5].append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-                    cols[6].append(store.v.decode(ids.tolist()) == texts[i])
-                else:
-                    cols[5].append(ids.astype(np.int32))
-        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *([pa.string(), pa.bool_()] if digest else [pa.list_(pa.int32())])]
-        arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]
-        names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", *(["ids_sha256", "round_trip"] if digest else ["ids"])]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Lattices(shared.value, temperature)
-        for batch in batches:
-            sizes = np.cumsum([len(t.as_py()) for t in batch.column(2)])
-            begin = 0
-            while begin < batch.num_rows:
-                base = sizes[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(sizes, base + WALK_CHARS, side="right")))
-                yield work(store, batch.slice(begin, end - begin))
-                begin = end
-                if store.edges > STORED_EDGES:
-                    store = Lattices(shared.value, temperature)
-
-    return rows.mapInArrow(run, f"doc_id {kind}, {OUT}, " + ("ids_sha256 string, round_trip boolean" if digest else "ids array<int>"))
+    found = F.call_function(name, "text", "key", F.lit(file), F.lit(samples), F.lit(float(temperature)), F.lit(digest))
+    out = rows.select("doc_id", F.inline(found))
+    return out.drop("ids") if digest else out.drop("ids_sha256", "round_trip")
 
 
-def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, model: str | list[Piece] = MODEL, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with column text, decoded from its piece ids (null ids: null; no ids: the empty text)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    text = decoder(vocabulary(model) if isinstance(model, str) else model)
 
     @F.pandas_udf("string")
-    def text(ids):
-        return ids.map(lambda x: None if x is None else shared.value.decode(list(x)))
+    def read(ids):
+        return ids.map(lambda x: None if x is None else text(list(x)))
 
-    return encoded.withColumn("text", text(F.col(ids_col)))
+    return encoded.withColumn("text", read(F.col(ids_col)))
