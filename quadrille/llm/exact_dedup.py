@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.llm.storage import materialise, release
+from quadrille.llm.storage import fresh, materialise
 
 PREFIX_CHARS = 256
 #: A single space stays as it is, so only longer runs and other white space need a replacement.
@@ -84,6 +84,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefi
         ids = gone.select("__id")
         return docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_anti")
     sha = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
-    rows = docs.withColumn("__row_sha", sha)
-    left = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows["__row_sha"] == gone["__sha"]), "left_anti")
-    return left.dropDuplicates([id_col, "__row_sha"]).drop("__row_sha")
+    own = fresh(docs, "__row_sha")
+    rows = docs.withColumn(own, sha)
+    left = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows[own] == gone["__sha"]), "left_anti")
+    return left.dropDuplicates([id_col, own]).drop(own)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quadrille.llm.storage import fresh
+
 #: The kinds and their patterns. Words match in either ASCII case.
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -173,7 +175,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allo
     """``docs`` with each stretch that spans cover replaced by ``mark``; rows without spans are unchanged, null texts
     stay null, and all columns keep their names, types and order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__base", base_spans(text)).withColumn("__spans", F.array_sort(F.concat("__base", entropy_spans(text, allow))))
+    base, spans = fresh(docs, "__base"), fresh(docs, "__spans")
+    rows = docs.withColumn(base, base_spans(text)).withColumn(spans, F.array_sort(F.concat(base, entropy_spans(text, allow))))
 
     def add(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
@@ -186,5 +189,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allo
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col))))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", begin, add, end)).otherwise(F.col(text_col))
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, begin, add, end)).otherwise(F.col(text_col))
     return rows.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

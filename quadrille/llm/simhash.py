@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4096) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest."""
-    gone = near_duplicates(docs, id_col, text_col, most).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest. A null doc_id names
+    no row, so such rows all stay, as do rows that repeat the smallest doc_id."""
+    gone = near_duplicates(docs, id_col, text_col, most).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

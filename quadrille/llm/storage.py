@@ -39,6 +39,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by ``materialise`` that nothing reads any longer."""
     for df in frames:
