@@ -60,7 +60,8 @@ def slices(text: str | None, words: int = PASSAGE_WORDS) -> Iterator[np.ndarray]
         passage = np.repeat(np.arange(n), np.diff(np.append(cut, end)))
         kinds = _KINDS[part]
         single = np.bincount(passage * _N_BYTES + _BYTES[part], minlength=n * _N_BYTES).reshape(n, -1)
-        pairs = np.bincount(passage[1:] * _N_KINDS**2 + kinds[:-1] * _N_KINDS + kinds[1:], minlength=n * _N_KINDS**2).reshape(n, -1)
+        before = np.append(_KINDS[raw[cut[0] - 1]], kinds[:-1]) if i else kinds[:-1]  # a slice goes on from the one before
+        pairs = np.bincount((passage * _N_KINDS**2 + kinds)[-len(before) :] + before * _N_KINDS, minlength=n * _N_KINDS**2).reshape(n, -1) if len(before) else np.zeros((n, _N_KINDS**2))
         both = [np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in (single, pairs)]
         yield np.hstack([*both, repeats[i : i + n]]).astype(np.float32)
 
