@@ -37,17 +37,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def groups(narrow: DataFrame) -> DataFrame:
     """Groups of two or more equal rows: len, prefix, text_sha256, keep (struct), group_size.
 
-    Each step counts with map-side combining and keeps keys that occur more than once, so a hot key is one row per
-    map task in the exchange; the semi-joins drop unique rows before the next, finer key.
+    Each level counts with map-side combining, so a hot key is one row per map task in its exchange, and keeps keys that
+    occur more than once. Levels meet by their keys only: rows themselves are never dealt by a length or a prefix.
     """
     by_len = narrow.groupBy("len").count().where("count > 1").select("len")
-    same_len = narrow.join(by_len, "len", "left_semi")
-    by_prefix = same_len.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix")
-    survivors = same_len.join(by_prefix, ["len", "prefix"], "left_semi")
+    by_prefix = narrow.groupBy("len", "prefix").count().join(by_len, "len", "left_semi").where("count > 1").select("len", "prefix")
     return (
-        survivors.groupBy("len", "prefix", "text_sha256")
+        narrow.groupBy("len", "prefix", "text_sha256")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
+        .join(by_prefix, ["len", "prefix"], "left_semi")
     )
 
 
