@@ -162,7 +162,9 @@ def read(index: DataFrame, gap: int = GAP_BYTES, most: int = RANGE_BYTES) -> Dat
     Entries are dealt by file and stretch of ``most`` bytes, sorted, and read in ranges that span small gaps. Payload
     digests are computed from the bytes that were read and compared with the record's own header.
     """
-    dealt = index.withColumn("stretch", F.floor(F.col("offset") / most)).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // (2 * most)))  # by bytes of the archives: the index alone looks too small to spread
+    dealt = index.withColumn("stretch", F.floor(F.col("offset") / most)).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
