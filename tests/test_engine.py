@@ -1,0 +1,148 @@
+"""Filters, literals, limits, changes and the catalog, end to end through SQL text."""
+
+from __future__ import annotations
+
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from quadrille import cli, types
+from quadrille.engine import Engine, connect
+from quadrille.operators.feature_table import FeatureTable
+from quadrille.plans.literals import demote, dialect, fold_casts, similar, split_top
+from tests import fixtures
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    e = Engine(spark)
+    e.register("test_data", fixtures.test_data(spark))
+    return e
+
+
+def ks(engine, where):
+    return sorted(r[0] for r in engine.sql(f"SELECT I FROM test_data WHERE {where}").collect())
+
+
+@pytest.mark.parametrize(
+    ("where", "want"),
+    [
+        ("F = 2.6", [26]), ("2.6 = F", [26]), ("D = CAST(0.26 AS REAL)", [26]), ("F = CAST(2.6 AS DECIMAL)", [26]), ("F = CAST(2.6 AS DOUBLE)", [26]),
+        ("F IN (0.1, 0.7, 99.9)", [1, 7, 999]), ("F NOT IN (0.1) AND I < 3", [0, 2]), ("F BETWEEN 3.1 AND 3.3", [31, 32, 33]), ("F <> 0.1 AND I < 3", [0, 2]), ("F > 99.7", [998, 999]),
+        ("F > '99.8'", [999]), ("I IN ('38', 39)", [38, 39]), ("TS = '2022-05-01 00:15:55'", [955]), ("TS > TIMESTAMP '2022-05-01 00:16:37'", [998, 999]),
+        ("__FID__ = '#12' OR __FID__ IN ('#4', 'none')", [4, 12]), ("S LIKE 'str000_'", list(range(10))), (r"S LIKE '%\_%'", []), ("S SIMILAR TO 'str099[89]'", [998, 999]),
+        ("I NOT IN (1, NULL)", []), ("NOT (I > 2)", [0, 1, 2]), ("U = '00000000-0000-0000-0000-000000000007'", [7]), ("B AND I < 5", [0, 2, 4]), ("COS(F) > 2", []),
+        ("(I < 2 OR I > 997) AND L <> 10000000000", [1, 998, 999]), ("D = 0.26", [26]), ("S IS NULL", []),
+    ],
+)
+def test_filters(engine, where, want):
+    assert ks(engine, where) == want
+
+
+def test_limits(engine):
+    assert len(engine.sql("SELECT * FROM test_data WHERE I > 500 AND F < 60 OFFSET 3 ROWS").collect()) == 96
+    assert len(engine.sql("SELECT * FROM test_data WHERE I > 500 OFFSET 3 ROWS FETCH NEXT 5 ROWS ONLY").collect()) == 5
+    assert engine.sql("SELECT * FROM test_data OFFSET 3 ROWS FETCH NEXT 0 ROWS ONLY").count() == 0
+    assert [r[0] for r in engine.sql("SELECT I FROM test_data ORDER BY I DESC FETCH FIRST 2 ROWS ONLY").collect()] == [999, 998]
+
+
+def test_text_rewrites():
+    assert dialect("EXPLAIN PLAN FOR SELECT 1;").split() == ["EXPLAIN", "SELECT", "1"]
+    assert demote("SELECT 'F = 2.6', F FROM t WHERE t.F = -2.6 -- F = 1", ["F"]) == "SELECT 'F = 2.6', F FROM t WHERE t.F = -CAST(2.6 AS FLOAT) -- F = 1"
+    assert fold_casts("SELECT CAST(2.6 AS REAL) FROM t") == "SELECT CAST(2.6 AS REAL) FROM t"
+    assert similar("a_%(b|c)[%x].") == r"^(?:a..*(b|c)[%x]\.)$"
+    assert split_top("a = f(1, 2), b = 'x,y', c = 3") == ["a = f(1, 2)", "b = 'x,y'", "c = 3"]
+
+
+def test_parameters_and_explain(engine):
+    assert engine.sql("SELECT count(*) FROM test_data WHERE I < ? AND S <> ?", args=[10, "str0003"]).first()[0] == 9
+    assert "Filter" in engine.explain("SELECT I FROM test_data WHERE I = 3")
+    assert "Physical Plan" in engine.sql("EXPLAIN PLAN FOR SELECT I FROM test_data").first()[0]
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    e = Engine(spark)
+    e.register("m", FeatureTable.create(spark, f"file://{tmp_path}/m", fixtures.MODIFY, fixtures.modify_rows(spark, 10)))
+    return e
+
+
+def test_insert(store):
+    n = store.sql("INSERT INTO m (__FID__, I, TS, geom, bytes) VALUES ('a', 1, '2022-05-01 12:10:23', ST_GeomFromText('POINT(1 1)'), X'01'), ('', 2, NULL, NULL, NULL)")
+    got = store.sql("SELECT __FID__, I, S, CAST(TS AS STRING) AS ts, ST_AsText(geom) AS g FROM m WHERE L IS NULL ORDER BY I").collect()
+    assert n == 2 and got[0][:] == ("a", 1, None, "2022-05-01 12:10:23", "POINT (1 1)") and len(got[1][0]) == 36 and got[1][4] is None
+    assert store.sql("INSERT INTO m SELECT * FROM m") == 12 and store.table("m").count() == 24
+    with pytest.raises(ValueError):
+        store.sql("INSERT INTO m (I, nothing) VALUES (1, 2)")
+    with pytest.raises(ValueError):
+        store.sql("INSERT INTO m (I, L) VALUES (1)")
+
+
+def test_update_and_delete(store):
+    assert store.sql("UPDATE m SET I = I + 1000, S = concat(S, ',x'), TS = CURRENT_TIMESTAMP, geom = ST_MakePoint(1D, 2D) WHERE MOD(I, 2) = 0") == 5
+    assert store.sql("DELETE FROM m WHERE MOD(I, 2) <> 0") == 5
+    rows = store.sql("SELECT I, S, ST_X(geom) AS x FROM m ORDER BY I").collect()
+    assert [r["I"] for r in rows] == [1000, 1002, 1004, 1006, 1008] and rows[0]["S"] == "str000,x" and {r["x"] for r in rows} == {1.0}
+    assert store.sql("UPDATE m SET B = NULL") == 5 and store.sql("SELECT count(B) FROM m").first()[0] == 0
+    assert store.sql("DELETE FROM m WHERE B") == 0 and store.sql("DELETE FROM m") == 5 and store.table("m").count() == 0
+    assert store.describe("m")[-1] == ("geom", "GEOMETRY(Point)") or store.describe("m")[-1][0] == "geom"
+
+
+def test_refused_changes(store):
+    with pytest.raises(NotImplementedError):
+        store.sql("UPDATE m SET __FID__ = 'x'")
+    with pytest.raises(NotImplementedError):
+        store.sql("MERGE INTO m USING n ON m.I = n.I WHEN MATCHED THEN DELETE")
+    with pytest.raises(ValueError):
+        store.sql("DELETE FROM nothing")
+
+
+def test_failed_update_changes_nothing(store):
+    before = store.table("m").count()
+    with pytest.raises(Exception, match="(?i)divi"):
+        store.sql("UPDATE m SET I = CAST(1 / (I - I) AS INT)")
+    assert store.table("m").count() == before
+
+
+def test_types():
+    s = types.schema("a:String,*g:Point,n:Integer")
+    assert s.names == ["__FID__", "a", "g", "n"] and s["g"].metadata == {"geometry": "Point", "srid": 4326}
+    with pytest.raises(types.UnsupportedTypeError):
+        types.schema("a:List")
+    with pytest.raises(types.UnsupportedTypeError):
+        types.check(types.T.StructType([types.T.StructField("d", types.T.DecimalType(3, 1))]))
+
+
+def test_null_and_binary_rows(spark, tmp_path):
+    e = Engine(spark)
+    s = types.schema("I:Integer,L:Long,F:Float,D:Double,U:String,S:String,B:Boolean,TS:Timestamp,bytes:Bytes")
+    e.register("nulls", FeatureTable.create(spark, f"file://{tmp_path}/n", s))
+    assert e.sql("INSERT INTO nulls (__FID__) VALUES ('0')") == 1
+    assert e.sql("SELECT * FROM nulls").first()[1:] == (None,) * 9
+    assert e.sql("SELECT min(I), max(TS), count(*) FROM nulls").first()[:] == (None, None, 1)
+
+
+def test_databases_and_shell(spark, sf, tmp_path):
+    table = FeatureTable.create(spark, f"file://{tmp_path}/m", fixtures.MODIFY, fixtures.modify_rows(spark, 3))
+    assert table.exists()
+    e = connect({"one": str(tmp_path), "two": str(tmp_path)}, spark)
+    assert e.tables("one") == ["m"] and e.sql("SELECT count(*) FROM one.m a JOIN two.m b ON a.I = b.I").first()[0] == 3
+    assert e.sql("DELETE FROM one.m WHERE I = 0") == 1
+    out = io.StringIO()
+    cli.run(e, "!tables one; !describe one.m; SELECT I, bytes, B FROM one.m WHERE S <> ';' ORDER BY I; UPDATE one.m SET I = 5 WHERE I = 1", out)
+    text = out.getvalue()
+    assert "one.m" in text and "bytes\tVARBINARY" in text and "1\t00010203\tFalse" in text and "1 rows affected" in text
+    with pytest.raises(FileNotFoundError):
+        e.attach("none", f"{tmp_path}/none")
+
+
+def test_schema_without_running(engine):
+    assert engine.sql("SELECT I, F FROM test_data").dtypes == [("I", "int"), ("F", "float")]
+
+
+def test_aggregates_over_groups(engine):
+    got = engine.sql("SELECT B, count(*) AS n, min(F) AS lo, max(TS) AS hi FROM test_data WHERE I < 10 GROUP BY B ORDER BY B").collect()
+    assert [(r["B"], r["n"]) for r in got] == [(False, 5), (True, 5)]
+    assert engine.sql("SELECT max(B), min(U) FROM test_data").first()[:] == (True, "00000000-0000-0000-0000-000000000000")
+    assert F is not None
