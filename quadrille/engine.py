@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from quadrille.geometry import jts
 from quadrille.operators.feature_table import FeatureTable
+from quadrille.plans import spatial_sql
 from quadrille.plans.literals import demote, dialect, find_word, fold_casts, split_top
 from quadrille.session import session
 from quadrille.sources import readers
@@ -134,6 +135,8 @@ class Engine:
                 hidden = f"__{db}_{t}"
                 text = re.sub(rf"(?<![\w.`])`?{re.escape(db)}`?\.`?{re.escape(t)}`?(?![\w`])", hidden, text, flags=re.I) if self.spark.catalog.tableExists(hidden) else text
         text = demote(text, self._floats(text))
+        if args is None and (joined := spatial_sql.rewrite(self.spark, text)) is not None:
+            return joined
         return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
 
     def _floats(self, text: str) -> set[str]:
