@@ -297,3 +297,15 @@ def test_nothing_else_imports_this_subpackage():
     others = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
     assert others and not any("llm" in p.read_text() for p in others)
     assert CLASHING and secrets.KINDS and exact_dedup.PREFIX_CHARS
+
+
+def test_stages_on_awkward_and_empty_documents(spark, sf):
+    """Each stage takes nulls in any column, repeated rows, clashing further columns and an empty table."""
+    docs = awkward(spark).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("src0"), "n_chars": F.length("text").cast("long")})
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, sf)
+            rows = now.count()
+            assert rows <= start.count() and (name == "best-fit packing" or now.columns == docs.columns), name
+        assert (rows > 0) == (start is docs)
