@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quadrille.llm.storage import bounded_sample
+
 PASSAGE_WORDS = 50
 #: The fit uses this many labelled documents at most (those of smallest hash), and of each this many evenly spaced
 #: passages at most. Scores always use whole texts.
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     broadcast; one scan of ``docs`` gathers its features, a few dozen megabytes at most.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
+    sample = bounded_sample(known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("__y")), "__id", sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

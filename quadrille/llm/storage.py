@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -39,6 +39,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest hash of ``key`` (all, if fewer): ordered by it, the same on every run.
+
+    Where there are many more, a filter on the hash keeps about twice ``n`` first, so that no task ranks or sends more
+    than it must; should that leave fewer than ``n``, the filter is dropped.
+    """
+    total = rows.count()
+    h = F.xxhash64(key)
+    if total > 4 * n:
+        few = rows.where(F.pmod(h, F.lit(1 << 20)) < (2 * n * (1 << 20)) // total + 1)
+        if few.count() >= n:
+            rows = few
+    return rows.orderBy(F.pmod(h, F.lit(1 << 20)), h, key).limit(n)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

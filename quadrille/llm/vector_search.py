@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.storage import materialise
+from quadrille.llm.storage import bounded_sample, materialise
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: The codebooks are learned from this many vectors at most, those whose hash is smallest.
@@ -105,7 +105,7 @@ def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
     if not usual:
         return rows.withColumns({"norm": F.lit(0.0), "codes": F.lit(b"")}), None
     rows = rows.where(F.size("vector") == usual[0]["d"])
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    picked = bounded_sample(rows, "vec_id", sample).toPandas()
     unit = np.array(picked["vector"].tolist(), np.float64)
     books = Codebooks.fit(unit / np.linalg.norm(unit, axis=1, keepdims=True))
     shared = vectors.sparkSession.sparkContext.broadcast(books)

@@ -309,3 +309,15 @@ def test_stages_on_awkward_and_empty_documents(spark, sf):
             rows = now.count()
             assert rows <= start.count() and (name == "best-fit packing" or now.columns == docs.columns), name
         assert (rows > 0) == (start is docs)
+
+
+def test_bounded_sample(spark):
+    from quadrille.llm.storage import bounded_sample
+
+    df = spark.range(50_000)
+    a, b = (sorted(r[0] for r in bounded_sample(x, "id", 500).collect()) for x in (df, df.repartition(9)))
+    assert a == b and len(set(a)) == 500
+    h = [r[0] for r in df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 20)), F.xxhash64("id")).limit(500).collect()]
+    assert sorted(h) == a and bounded_sample(df, "id", 60_000).count() == 50_000
+    same = spark.range(3000).select(F.lit(1).alias("id"))  # one hot key: the filter would leave none or all
+    assert bounded_sample(same, "id", 10).count() == 10
