@@ -33,6 +33,7 @@ class Engine:
         self.features: dict[str, FeatureTable] = {}
         self.folders: dict[str, tuple[str, float]] = {}
         self.known: dict[str, list[str]] = {DEFAULT: []}
+        self.temporary: set[tuple[str, str]] = set()  # tables that are temporary views, which have no database
 
     # -- catalog -------------------------------------------------------------------------------------------------
     def attach(self, name: str, path: str) -> list[str]:
@@ -56,9 +57,11 @@ class Engine:
             elif kind == "csv":
                 self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `__{name}_{table}` USING csv OPTIONS (path '{full}', header 'true', inferSchema 'true')")
                 self._note(name, table)
+                self.temporary.add((name, table))
             elif kind in ("geojson", "geojsonl"):
                 readers.geojson(self.spark, full, lines=kind == "geojsonl").createOrReplaceTempView(f"__{name}_{table}")
                 self._note(name, table)
+                self.temporary.add((name, table))
         return self.tables(name)
 
     def _note(self, db: str, table: str) -> None:
@@ -77,7 +80,8 @@ class Engine:
 
     def _refresh(self, name: str) -> None:
         db, table = name.split(".")
-        self.spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`{table}` AS SELECT * FROM parquet.`{self.features[name].current()}`")
+        columns = ", ".join(f"`{c}`" for c in self.features[name].read().columns)
+        self.spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`{table}` AS SELECT {columns} FROM parquet.`{self.features[name].current()}`")
 
     def register(self, name: str, source: str | DataFrame | FeatureTable) -> None:
         """Bind one table without discovery: a DataFrame, a feature table, or the path of Parquet data or of one."""
@@ -120,8 +124,7 @@ class Engine:
 
     def _resolved(self, name: str) -> str:
         db, _, table = name.replace("`", "").rpartition(".")
-        hidden = f"__{db}_{table}"
-        return hidden if db and any(v.name.lower() == hidden.lower() and v.isTemporary for v in self.spark.catalog.listTables()) else name
+        return f"__{db}_{table}" if (db, table) in self.temporary else name
 
     # -- SQL -----------------------------------------------------------------------------------------------------
     def sql(self, text: str, args: Sequence | Mapping | None = None) -> DataFrame | int:
@@ -130,11 +133,10 @@ class Engine:
         text = fold_casts(dialect(text))
         if change := CHANGE.match(text):
             return self._change(re.sub(r"\s+", " ", change[1].upper()), change[2], change[3].strip())
-        for db, names in self.known.items():
-            for t in names:
-                hidden = f"__{db}_{t}"
-                text = re.sub(rf"(?<![\w.`])`?{re.escape(db)}`?\.`?{re.escape(t)}`?(?![\w`])", hidden, text, flags=re.I) if self.spark.catalog.tableExists(hidden) else text
+        for db, t in self.temporary:
+            text = re.sub(rf"(?<![\w.`])`?{re.escape(db)}`?\.`?{re.escape(t)}`?(?![\w`])", f"__{db}_{t}", text, flags=re.I)
         text = demote(text, self._floats(text))
+        text = spatial_sql.prune(self.spark, text, self._feature)
         if args is None and (joined := spatial_sql.rewrite(self.spark, text)) is not None:
             return joined
         return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)

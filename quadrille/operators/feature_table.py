@@ -2,6 +2,9 @@
 
 Inserts add files to the current version, which Spark commits together. Updates and deletes write a new version and
 then replace the pointer, so a reader sees all of a change or none, and the path being read is never overwritten.
+
+Beside each geometry the files hold its envelope in four plain columns that readers do not see. Spatial searches compare
+with them first, which Parquet can prune by.
 """
 
 from __future__ import annotations
@@ -11,8 +14,18 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from quadrille.geometry import jts
+from quadrille.geometry.native import Box, Wkb
+from quadrille.operators.prefilter import spatial_filter
 from quadrille.types import FID, check, with_fid
 
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def hidden(geom: str) -> list[str]:
+    """Names of the envelope columns of a geometry."""
+    return [f"__{geom}_{c}" for c in CORNERS]
+
 
 class FeatureTable:
     """A typed table with a leading feature id, kept as Parquet below ``path`` (any Hadoop file system)."""
@@ -65,13 +78,31 @@ class FeatureTable:
             raise ValueError(f"{path} exists")
         name = f"v-{uuid.uuid4().hex}"
         start = spark.createDataFrame([], schema) if rows is None else table._shaped(with_fid(rows), schema)
-        start.write.parquet(f"{table.path}/{name}")
+        table._with_bounds(start).write.parquet(f"{table.path}/{name}")
         table._switch(name)
         return table
 
-    def read(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """The current files with the hidden envelope columns."""
         return self.spark.read.parquet(self.current())
 
+    def read(self) -> DataFrame:
+        all_columns = self.stored()
+        return all_columns.select(*_visible(all_columns.schema))
+
+    def search(self, geom: str, predicate: str, wkt: str, distance: float | None = None) -> DataFrame:
+        """Rows whose geometry column satisfies ``predicate`` against a WKT literal; the scan prunes by envelopes."""
+        jts.register(self.spark)
+        rows = self.stored()
+        return spatial_filter(rows, Wkb(geom), predicate, wkt, distance, Box(*hidden(geom))).select(*_visible(rows.schema))
+
+    def _with_bounds(self, rows: DataFrame) -> DataFrame:
+        geometries = [f.name for f in rows.schema if "geometry" in f.metadata]
+        if geometries:
+            jts.register(self.spark)
+        bounds = {h: F.get(F.call_function("__jts_bounds", F.col(g)), F.lit(i)) for g in geometries for i, h in enumerate(hidden(g))}
+        return rows.withColumns(bounds) if bounds else rows
+
     # -- changes -------------------------------------------------------------------------------------------------
     def _shaped(self, rows: DataFrame, schema: T.StructType) -> DataFrame:
         """``rows`` cast to ``schema`` by column name; columns they lack are null, missing and empty ids are made."""
@@ -94,7 +125,8 @@ class FeatureTable:
     def insert(self, rows: DataFrame) -> int:
         """Append rows, cast to the table's types; the number of rows added."""
         current = self.current()
-        return self._written(self._shaped(rows, self.spark.read.parquet(current).schema), current, F.lit(True), "append")
+        schema = self.read().schema
+        return self._written(self._with_bounds(self._shaped(rows, schema)), current, F.lit(True), "append")
 
     def update(self, values: Mapping[str, Column | str], where: Column | str | None = None) -> int:
         """Set columns to expressions over the old row where ``where`` is true; the number of rows rewritten."""
@@ -114,7 +146,7 @@ class FeatureTable:
 
     def delete(self, where: Column | str | None = None) -> int:
         """Remove rows where ``where`` is true; the number of rows removed."""
-        marked = self.read().withColumn("__hit", F.coalesce(_condition(where), F.lit(False)))
+        marked = self.stored().withColumn("__hit", F.coalesce(_condition(where), F.lit(False)))
         seen = Observation()
         kept = marked.observe(seen, F.count_if("__hit").alias("n")).where(~F.col("__hit")).drop("__hit")
         name, old = f"v-{uuid.uuid4().hex}", self.current()
@@ -124,7 +156,7 @@ class FeatureTable:
 
     def _replace(self, rows: DataFrame, counted: Column) -> int:
         name, old = f"v-{uuid.uuid4().hex}", self.current()
-        n = self._written(rows, f"{self.path}/{name}", counted, "errorifexists")
+        n = self._written(self._with_bounds(rows), f"{self.path}/{name}", counted, "errorifexists")
         self._retire(name, old)
         return n
 
@@ -134,5 +166,10 @@ class FeatureTable:
         fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
 
 
+def _visible(schema: T.StructType) -> list[str]:
+    own = {h for f in schema if "geometry" in f.metadata for h in hidden(f.name)}
+    return [f.name for f in schema if f.name not in own]
+
+
 def _condition(where: Column | str | None) -> Column:
     return F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where

@@ -15,15 +15,15 @@ def constant_bounds(df: DataFrame, wkt: str) -> tuple[bytes, Box]:
     return bytes(jvm.org.locationtech.jts.io.WKBWriter(2, 2).write(g)), Box(e.getMinX(), e.getMinY(), e.getMaxX(), e.getMaxY())
 
 
-def spatial_filter(df: DataFrame, geom: Geometry, predicate: str, wkt: str, distance: float | None = None) -> DataFrame:
+def spatial_filter(df: DataFrame, geom: Geometry, predicate: str, wkt: str, distance: float | None = None, bounds: Box | None = None) -> DataFrame:
     """Rows whose geometry satisfies ``predicate`` (geometry first) against a WKT literal.
 
     Plain comparisons with the literal's envelope come first: on stored coordinate columns they reach the Parquet scan.
-    Where the literal is a rectangle and the rows are points or boxes they are all there is.
+    ``bounds`` names columns with the envelopes of the geometries, where there are some beside them. Where the literal is a rectangle and the rows are points or boxes they are all there is.
     """
     wkb, box = constant_bounds(df, wkt)
     grow = float(distance or 0.0)
-    x0, y0, x1, y1 = geom.bounds()
+    x0, y0, x1, y1 = (bounds or geom).bounds()
     b = (box.xmin - grow, box.ymin - grow, box.xmax + grow, box.ymax + grow)
     near = (x1 >= b[0]) & (x0 <= b[2]) & (y1 >= b[1]) & (y0 <= b[3])
     rectangle = df.sparkSession.sparkContext._jvm.org.locationtech.jts.io.WKTReader().read(wkt).isRectangle()

@@ -49,3 +49,21 @@ def test_rows_equal_the_nested_loop(engine, text):
 def test_other_queries_are_left_alone(engine, text):
     assert spatial_sql.rewrite(engine.spark, text) is None
     assert engine.sql(text).count() == engine.spark.sql(text).count()
+
+
+def test_spatial_conditions_prune_the_scan(spark, tmp_path):
+    from quadrille.operators.feature_table import FeatureTable
+
+    e = Engine(spark)
+    table = FeatureTable.create(spark, f"file://{tmp_path}/m", fixtures.MODIFY, fixtures.modify_rows(spark, 60))
+    e.register("feat", table)
+    assert e.table("feat").columns == fixtures.MODIFY.names and e.sql("SELECT * FROM feat").columns == fixtures.MODIFY.names
+    for condition in ("ST_Within(geom, ST_MakeEnvelope(9.5, 0, 20.5, 99))", "ST_DWithin(ST_MakePoint(15, 16), f.geom, 7.2D)", "ST_Intersects(f.geom, ST_GeomFromText('POLYGON((5 0, 30 0, 5 30, 5 0))')) AND f.I > 6"):
+        text = f"SELECT f.I, count(*) AS n FROM feat f WHERE {condition} GROUP BY f.I ORDER BY f.I"
+        got, want = e.sql(text), spark.sql(text)
+        assert got.collect() == want.collect() and got.count() > 5
+        assert "__geom_x1" in got._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert e.sql("UPDATE feat SET geom = ST_MakePoint(500D, 500D) WHERE I = 3") == 1
+    assert [r[0] for r in e.sql("SELECT I FROM feat WHERE ST_Within(geom, ST_MakeEnvelope(400, 400, 600, 600))").collect()] == [3]
+    assert [r["I"] for r in table.search("geom", "within", "POLYGON((400 400, 600 400, 600 600, 400 600, 400 400))").collect()] == [3]
+    assert e.sql("DELETE FROM feat WHERE ST_Within(geom, ST_MakeEnvelope(400, 400, 600, 600))") == 1 and e.table("feat").count() == 59
