@@ -30,8 +30,11 @@ def _cells(df: DataFrame, g: Geometry, size: float, within: float, most_cells: i
     return out.where(F.col(f"{prefix}x0").isNotNull() & F.col(f"{prefix}y0").isNotNull()).withColumn(f"{prefix}level", level)
 
 
-def _dealt(df: DataFrame, size: float, prefix: str, level: Column) -> DataFrame:
+def _dealt(df: DataFrame, size: float, prefix: str, level: Column, single: bool) -> DataFrame:
+    """``df`` with its cells; ``single`` where an envelope is a point and so meets just one."""
     w = F.lit(size) * F.pow(F.lit(LEVEL_FACTOR), level)
+    if single:
+        return df.withColumns({"__lv": level, "__cx": F.floor(F.col(prefix + "x0") / w), "__cy": F.floor(F.col(prefix + "y0") / w)})
 
     def span(lo: str, hi: str) -> Column:
         return F.sequence(F.floor(F.col(prefix + lo) / w), F.floor(F.col(prefix + hi) / w))
@@ -95,11 +98,12 @@ def spatial_join(
         test = F.call_function("ST_DWithin", a, b, F.lit(within)) if predicate == "dwithin" else F.call_function("__jts_test", F.lit(predicate), a, b)
     a = _cells(lrows, left_geom, size, within, most_cells, top, "__a")
     b = _cells(rrows, right_geom, size, 0.0, most_cells, top, "__b")
+    one_a, one_b = isinstance(left_geom, Point) and not within, isinstance(right_geom, Point)
     if top == 0:
-        a, b = _dealt(a, size, "__a", F.lit(0)), _dealt(b, size, "__b", F.lit(0))
+        a, b = _dealt(a, size, "__a", F.lit(0), one_a), _dealt(b, size, "__b", F.lit(0), one_b)
     else:  # two rows meet at the coarser of their levels, so a row is dealt at its own level and all above
-        a = _dealt(a.withColumn("__m", F.explode(F.sequence(F.col("__alevel"), F.lit(top)))), size, "__a", F.col("__m")).drop("__m")
-        b = _dealt(b.withColumn("__m", F.explode(F.sequence(F.col("__blevel"), F.lit(top)))), size, "__b", F.col("__m")).drop("__m")
+        a = _dealt(a.withColumn("__m", F.explode(F.sequence(F.col("__alevel"), F.lit(top)))), size, "__a", F.col("__m"), one_a).drop("__m")
+        b = _dealt(b.withColumn("__m", F.explode(F.sequence(F.col("__blevel"), F.lit(top)))), size, "__b", F.col("__m"), one_b).drop("__m")
     b = b.withColumnsRenamed({"__lv": "__blv", "__cx": "__bcx", "__cy": "__bcy"})
     w = F.lit(size) * F.pow(F.lit(LEVEL_FACTOR), F.col("__lv"))
     meet = (
