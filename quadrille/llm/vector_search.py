@@ -173,8 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     asked = asked.where(usable(F.col("vector")) & F.col("vec_id").isNotNull() & (F.size("vector") == dims)).distinct()
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    tasks = tasks or spark.sparkContext.defaultParallelism * 2
-    table = materialise(table.repartition(tasks), "ann-dealt") if tasks < table.rdd.getNumPartitions() or table.rdd.getNumPartitions() < 2 else table
+    table = table.coalesce(tasks or spark.sparkContext.defaultParallelism * 2)  # each task returns its own bests
     out = None
     for b in range(blocks):
         mine = asked.where(F.col("block") == b).orderBy("vec_id").toPandas()  # about ``block`` rows
