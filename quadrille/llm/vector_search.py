@@ -5,7 +5,7 @@ is stored beside the codes. A query scores all codes by look-up tables (one inne
 best are ranked again by exact inner products in double precision.
 
 The index has every row. Equal vectors are one class with its members' ids: a class shows at most ``k`` + 1 of its
-smallest ids in any result, so only those are kept in the search table, without loss. Queries come in blocks of a fixed
+smallest distinct ids in any result, so only those are kept in the search table, without loss. Queries come in blocks of a fixed
 size; a block is broadcast and meets all rows of the table in one pass without a shuffle, and each task keeps running
 bests only.
 """
@@ -109,6 +109,7 @@ def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
     unit = np.array(picked["vector"].tolist(), np.float64)
     books = Codebooks.fit(unit / np.linalg.norm(unit, axis=1, keepdims=True))
     shared = vectors.sparkSession.sparkContext.broadcast(books)
+    rows = rows.distinct()  # an aggregate that drops repeats in the map tasks, so the ranks below count ids
     first = rows.withColumn("__at", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("__at") <= k + 1).drop("__at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,8 @@ class _Best:
         pick = pick[ids[pick] != self.ids[q]]
         score = np.concatenate((self.found[q][0], (x[pick] * self.queries[q]).sum(axis=1)))
         at = np.concatenate((self.found[q][1], ids[pick]))
-        best = np.lexsort((at, -score))[: self.k]
+        best = np.lexsort((at, -score))
+        best = best[np.sort(np.unique(at[best], return_index=True)[1])[: self.k]]  # an id's best score only
         self.found[q] = score[best], at[best]
 
 
@@ -160,8 +162,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     """The ``k`` nearest rows of ``vectors`` by inner product for each row of ``queries``: query_id, rank, vec_id, score.
 
     Both have columns ``id_col`` and ``vector_col``. A query's own id is no candidate. Vectors that are null, zero, or
-    hold null or non-finite components take no part on either side, nor do rows with a null id; ids that repeat with
-    equal vectors count once. An empty side gives an empty result. Other columns are not read.
+    hold null or non-finite components take no part on either side, nor do rows with a null id; an id that repeats
+    counts once, with its best score. An empty side gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
     table, books = build(vectors, k, id_col, vector_col)
@@ -197,5 +199,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         found = table.mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = out.distinct().withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    once = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

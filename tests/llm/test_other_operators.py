@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -50,6 +51,22 @@ def test_many_equal_vectors_keep_smallest_ids(spark):
         assert g.sort_values("rank").vec_id.tolist() == exact_neighbours(ids, x, q, 5)
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-3])
+def test_a_repeated_id_takes_one_place(spark, spread):
+    """Id 7 thirty times, with equal or with different vectors, beside thirty others with the same or a near vector."""
+    r = np.random.default_rng(3)
+    hot = r.standard_normal(8)
+    rows = [(7, hot * (1 + spread * i)) for i in range(30)] + [(100 + i, hot) for i in range(30)] + [(200 + i, hot + r.standard_normal(8) * 0.01) for i in range(30)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    score = defaultdict(lambda: -math.inf)
+    for i, v in rows:
+        score[i] = max(score[i], (v * hot).sum())
+    del score[100]
+    want = sorted(score, key=lambda i: (-score[i], i))[:20]
+    got = vector_search.search(df, df.where("vec_id = 100"), k=20, tasks=1).toPandas().sort_values("rank")
+    assert got.vec_id.tolist() == want and np.allclose(got.score, [score[i] for i in want])
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, [None, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (8, [1.0])]
