@@ -21,11 +21,14 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 LEAST_VALUE = 6
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What '=', '/' and '+' leave of a candidate, to hold against the allow list, and stretches of letters and digits in it.
+PIECE = r"[A-Za-z0-9_-]{20,}"
+STRETCH = r"[A-Za-z0-9]{20,}"
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,12 @@ class CharClass:
 CLASSES = (
     CharClass("entropy_hex", "0123456789abcdef", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
     CharClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).*[^0-9A-Fa-f].*$", 3.75),
+    CharClass("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", r"^(?=.*[0-9])(?=.*[g-z])[0-9a-z]+$", 3.5),
+    CharClass("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"^(?=.*[0-9])(?=.*[G-Z])[0-9A-Z]+$", 3.5),
 )
+#: A stretch that is only a part of its candidate is scanned too if it has digits and letters of one case; with both
+#: cases its candidate is scanned whole as base64.
+GLUED = (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$")
 #: Candidates that match one of these are not secrets: UUIDs, sub-resource digests, named samples, one repeated character.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -119,16 +127,24 @@ def _windows(candidate: Column, start: Column, cls: CharClass) -> Column:
     return F.aggregate(F.filter(steps, lambda x: x["new"].isNotNull()), begin, add, lambda acc: acc["out"])
 
 
+def _hits(text: Column, pattern: str, start: Column | int = 0) -> Column:
+    """Array of struct(start, hit) of the matches; ``start`` is where ``text`` begins."""
+    return F.transform(_spans(text, pattern, 0), lambda s: F.struct((s["start"] + start).alias("start"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("hit")))
+
+
 def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Spans of the entropy kinds in candidates that no pattern of ``allow`` suppresses."""
+    """Spans of the entropy kinds in candidates, and in stretches of them, that no pattern of ``allow`` suppresses."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    whole = F.transform(_spans(text, CANDIDATE, 0), lambda s: F.struct(s["start"].alias("start"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("hit")))
+    whole = _hits(text, CANDIDATE)
     suspects = F.filter(whole, lambda c: ~_any(c["hit"], allow) & _any(c["hit"], tuple(x.pattern for x in CLASSES)))
+    pieces = F.filter(_hits(text, PIECE), lambda c: ~_any(c["hit"], allow))
+    parts = F.flatten(F.transform(pieces, lambda c: _hits(c["hit"], STRETCH, c["start"])))
+    glued = F.filter(parts, lambda c: _any(c["hit"], GLUED) & ~F.exists(whole, lambda w: (w["start"] == c["start"]) & (w["hit"] == c["hit"])))
 
     def scan(c: Column) -> Column:
         return F.concat(*[F.when(c["hit"].rlike(x.pattern), _windows(c["hit"], c["start"], x)).otherwise(empty) for x in CLASSES])
 
-    return F.when(text.rlike(CANDIDATE), F.flatten(F.transform(suspects, scan))).otherwise(empty)
+    return F.when(text.rlike(CANDIDATE), F.flatten(F.transform(F.concat(suspects, glued), scan))).otherwise(empty)
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:

@@ -144,6 +144,22 @@ def test_secrets_equal_brute_force(spark, sf):
         assert r["spans"] == as_text(spans + entropy(texts[r["doc_id"]])), texts[r["doc_id"]]
 
 
+HEX20, BASE36, BASE32 = "9f86d081884c7d659a2f", "q7x2m9k4z8w1v6t3p5r0n2j8h4g6y1u9", "JBSWY3DPEHPK3PXPKRSXG5BAONQXMZJR"
+GLUED = [
+    ("key=" + HEX20, "entropy_hex:4:24"), ("/srv/app-x/" + HEX20.upper() + "/y", "entropy_hex:11:31"), (BASE36, "entropy_lower:0:32"), ("key-" + BASE36, "entropy_lower:4:36"),
+    (BASE32, "entropy_upper:0:32"), ("OTP=" + BASE32 + "==", "entropy_upper:4:36"), ("é😀 sample/" + HEX20, "entropy_hex:10:30"), ("KEY_" + HEX20, "entropy_hex:4:24"),
+    ("sample-" + HEX20, ""), ("id=123e4567-e89b-12d3-a456-426614174000", ""), ("sha256-" + BASE36, ""), ("a-plain-path/with-words-of/2024", ""), ("key=" + "ab12" * 8, "hex:4:36"),
+]
+
+
+def test_one_case_keys_and_keys_glued_to_names(spark):
+    """Base36, base32 and hex stretches are scanned; the allow list holds against the stretch's own piece."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GLUED)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()}
+    assert [got[i] for i in range(len(GLUED))] == [want for _, want in GLUED]
+    assert secrets.redact(df).where("doc_id = 3").first()["text"] == "key-[SECRET]"
+
+
 def redacted(text):
     out, at = [], 0
     for a, _, b in sorted(base(text) + entropy(text)):
