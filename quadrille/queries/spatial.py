@@ -167,6 +167,14 @@ def sp_both_sides_operand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.expr("ST_Area(ST_Envelope(ST_Union(p, g))) < 4000")).select("c_custkey", "s_suppkey")
 
 
+def sp_both_sides_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all pairs. Areas are multiples of 0.01, so none is so near the bound that rounding decides."""
+    jts.register(spark)
+    a = _customers(spark, sf_dir).select("c_custkey", F.call_function("ST_MakePoint", "x", "y").alias("p"))
+    b = boxes(spark, sf_dir).select("s_suppkey", F.call_function("ST_MakeEnvelope", "x0", "y0", "x1", "y1").alias("g"))
+    return a.join(b, F.expr("ST_Area(ST_Envelope(ST_Union(p, g))) < 4000.005D")).select("c_custkey", "s_suppkey")
+
+
 EVENTS = "WITH e AS (SELECT event_id, CAST((event_id * 37) % 3600 AS DOUBLE) / 10 - 180 AS x, CAST((event_id * 53) % 1800 AS DOUBLE) / 10 - 90 AS y FROM events), " + CTE.strip().removeprefix("WITH ")
 
 QUERIES = {
@@ -193,6 +201,7 @@ QUERIES = {
     "sp_join_events": sp_join_events,
     "sp_stream_static": sp_stream_static,
     "sp_both_sides_operand": sp_both_sides_operand,
+    "sp_both_sides_whole": sp_both_sides_whole,
 }
 
 ORACLES = {
@@ -230,4 +239,5 @@ ORACLES = {
     "sp_join_events": EVENTS + "SELECT s_suppkey, count(*) AS n FROM e JOIN b ON b.x0 < e.x AND e.x < b.x1 AND b.y0 < e.y AND e.y < b.y1 GROUP BY s_suppkey",
     "sp_stream_static": EVENTS + "SELECT event_id, s_suppkey FROM e JOIN b ON b.x0 < e.x AND e.x < b.x1 AND b.y0 < e.y AND e.y < b.y1",
     "sp_both_sides_operand": CTE + "SELECT c_custkey, s_suppkey FROM pt JOIN b ON c_custkey < 40 AND s_suppkey < 20 AND (greatest(x, x1) - least(x, x0)) * (greatest(y, y1) - least(y, y0)) < 4000",
+    "sp_both_sides_whole": CTE + "SELECT c_custkey, s_suppkey FROM pt JOIN b ON (greatest(x, x1) - least(x, x0)) * (greatest(y, y1) - least(y, y0)) < CAST(4000.005 AS DOUBLE)",
 }
