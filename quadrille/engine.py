@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import BinaryType
 
+from quadrille import compiled
 from quadrille.geometry import jts
 from quadrille.operators.feature_table import FeatureTable
 from quadrille.plans import spatial_sql
@@ -16,6 +19,7 @@ from quadrille.session import session
 from quadrille.sources import readers
 from quadrille.types import display_type
 
+SPATIAL = re.compile(r"\b(ST_|__jts_)\w+\s*\(", re.I)
 CHANGE = re.compile(r"^\s*(INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+([`\w.]+)(.*)$", re.I | re.S)
 DEFAULT = "default"
 
@@ -24,11 +28,12 @@ class Engine:
     """Tables under database names, queried together in one session.
 
     ``attach`` finds the tables below a folder; ``register`` binds one. Listings of attached folders are read again
-    after ``cache_seconds`` (0: always). Feature tables take INSERT, UPDATE and DELETE.
+    after ``cache_seconds`` (0: always). Feature tables take INSERT, UPDATE and DELETE. The ``ST_`` functions are made
+    when a statement or a table first needs them; only then is a Java compiler needed.
     """
 
     def __init__(self, spark: SparkSession | None = None, cache_seconds: float = 600.0):
-        self.spark = jts.register(spark or session())
+        self.spark = spark or session()
         self.cache_seconds = cache_seconds
         self.features: dict[str, FeatureTable] = {}
         self.folders: dict[str, tuple[str, float]] = {}
@@ -114,9 +119,12 @@ class Engine:
         return [(db, t, c, k) for db in self.known for t in self.tables(db) for c, k in self.describe(f"{db}.{t}" if db != DEFAULT else t)]
 
     def table(self, name: str) -> DataFrame:
-        if feature := self._feature(name):
-            return feature.read()
-        return self.spark.table(self._resolved(name))
+        feature = self._feature(name)
+        rows = feature.read() if feature else self.spark.table(self._resolved(name))
+        if any(isinstance(f.dataType, BinaryType) for f in rows.schema):  # callers may apply ST_ functions to it
+            with contextlib.suppress(compiled.CompilerMissing):
+                jts.register(self.spark)
+        return rows
 
     def _feature(self, name: str) -> FeatureTable | None:
         plain = name.replace("`", "").lower()
@@ -131,6 +139,8 @@ class Engine:
         """A query's DataFrame, or the number of affected rows of INSERT, UPDATE or DELETE. ``?`` and ``:name`` stand
         for ``args``."""
         text = fold_casts(dialect(text))
+        if SPATIAL.search(text):
+            jts.register(self.spark)
         if change := CHANGE.match(text):
             return self._change(re.sub(r"\s+", " ", change[1].upper()), change[2], change[3].strip())
         for db, t in self.temporary:

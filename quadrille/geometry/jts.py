@@ -1,23 +1,18 @@
 """JTS operations over WKB, as SQL functions.
 
-``java/Kernel.java`` is compiled once per content with the JDK's compiler against Spark's own jars, which hold JTS, and
-added to the session; executors fetch it from the driver. The ``ST_`` names are SQL functions over its few entry
-points, so they are usable from SQL and DataFrames, need no Python worker, and show up in plans.
+``java/Kernel.java`` is compiled against Spark's own jars, which hold JTS, and added to the session when first needed.
+The ``ST_`` names are SQL functions over its few entry points, so they are usable from SQL and DataFrames, need no
+Python worker, and show up in plans.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-import shutil
-import subprocess
-import tempfile
-import zipfile
 from pathlib import Path
 
-import pyspark
 from pyspark.sql import SparkSession
 
+from quadrille import compiled
+
 SOURCE = Path(__file__).with_name("java") / "Kernel.java"
 
 #: Java entry points: SQL name -> (class, return type).
@@ -109,38 +104,12 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
 _done: set[int] = set()
 
 
-class CompilerMissing(RuntimeError):
-    """No Java compiler: operations over WKB are unavailable, native ones still work."""
-
-
-def build() -> Path:
-    """The jar of the kernel; compiled where no jar of the same source and Spark version is cached."""
-    key = hashlib.sha256(SOURCE.read_bytes() + pyspark.__version__.encode()).hexdigest()[:16]
-    cache = Path(os.environ.get("QUADRILLE_CACHE", Path(tempfile.gettempdir()) / f"quadrille-{os.getuid()}"))
-    jar = cache / f"kernel-{key}.jar"
-    if jar.exists():
-        return jar
-    compiler = shutil.which("javac") or (os.environ.get("JAVA_HOME") and shutil.which("javac", path=f"{os.environ['JAVA_HOME']}/bin"))
-    if not compiler:
-        raise CompilerMissing("ST_ functions over WKB need javac on PATH or in JAVA_HOME")
-    jars = Path(pyspark.__file__).with_name("jars")
-    cache.mkdir(parents=True, exist_ok=True)
-    with tempfile.TemporaryDirectory(dir=cache) as folder:
-        subprocess.run([compiler, "-nowarn", "-d", folder, "-cp", f"{jars}/*", str(SOURCE)], check=True, capture_output=True)
-        made = Path(folder) / "kernel.jar"
-        with zipfile.ZipFile(made, "w") as out:
-            for f in sorted(Path(folder).rglob("*.class")):
-                out.write(f, f.relative_to(folder))
-        made.rename(jar)
-    return jar
-
-
 def register(spark: SparkSession) -> SparkSession:
     """Make all ``ST_`` functions available in the session; repeated calls do nothing."""
     mark = hash((spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID()))
     if mark in _done:
         return spark
-    spark.sql(f"ADD JAR '{build()}'")
+    compiled.add(spark, SOURCE)
     for name, (cls, returns) in ENTRIES.items():
         spark.udf.registerJavaFunction(name, f"quadrille.Kernel${cls}", returns)
     for name, (params, returns, body) in FUNCTIONS.items():

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quadrille.geometry import jts
 from quadrille.geometry.native import Geometry, Point, as_wkb, exact
 
 PREDICATES = ("contains", "within", "intersects", "crosses", "equals", "overlaps", "touches", "covers", "coveredby", "dwithin")
@@ -94,6 +95,7 @@ def spatial_join(
     rrows = right.select("*", rid) if outer else right
     test = exact(predicate, left_geom, right_geom, distance)
     if test is None:
+        jts.register(left.sparkSession)
         a, b = as_wkb(left_geom), as_wkb(right_geom)
         test = F.call_function("ST_DWithin", a, b, F.lit(within)) if predicate == "dwithin" else F.call_function("__jts_test", F.lit(predicate), a, b)
     a = _cells(lrows, left_geom, size, within, most_cells, top, "__a")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.engine import Engine
+from quadrille.geometry import jts
 from quadrille.operators.feature_table import FeatureTable
 from quadrille.queries.spatial import points
 from quadrille.sources import readers
@@ -24,6 +25,7 @@ def scratch(spark: SparkSession) -> str:
 def _features(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
     """An engine with table ``cust``, made from customer with its derived points."""
     engine = Engine(spark)
+    jts.register(spark)
     rows = points(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal")
     rows = with_fid(rows, "c_custkey").select("__FID__", "c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") / F.lit(10.0)).alias("share"), F.call_function("ST_MakePoint", "x", "y").alias("pt"))
     path = scratch(spark)
@@ -100,7 +102,7 @@ def source_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Engine(spark)
+    jts.register(spark)
     path = scratch(spark)
     rows = with_fid(points(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey").withColumn("geom", F.call_function("ST_MakePoint", "x", "y"))
     readers.write_geojson(rows.select("__FID__", "c_custkey", "c_name", "geom"), path)

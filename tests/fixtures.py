@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quadrille.geometry import jts
 from quadrille.types import schema
 
 DATA = "I:Integer,L:Long,F:Float,D:Double,B:Boolean,S:String,U:UUID,TS:Timestamp"
@@ -22,6 +23,7 @@ def test_data(spark: SparkSession) -> DataFrame:
 
 def geom_data(spark: SparkSession) -> DataFrame:
     """121 rows with points of a grid and one geometry of each kind."""
+    jts.register(spark)
     ij = spark.range(121).select((F.col("id") / 11).cast("int").alias("i"), (F.col("id") % 11).cast("int").alias("j"))
     wkt = {
         "line": "LINESTRING(0 2, 2 0, 8 6)", "poly": "POLYGON((20 10, 30 0, 40 10, 30 20, 20 10))", "points": "MULTIPOINT(0 0, 2 2)", "lines": "MULTILINESTRING((0 2, 2 0, 8 6),(0 2, 2 0, 8 6))",
@@ -34,6 +36,7 @@ def geom_data(spark: SparkSession) -> DataFrame:
 
 
 def geom_simple(spark: SparkSession) -> DataFrame:
+    jts.register(spark)
     lo, hi = "CAST(id - 0.2D AS DOUBLE)", "CAST(id + 0.2D AS DOUBLE)"
     return spark.range(11).select(
         F.concat(F.lit("#"), "id").alias("fid2"), F.col("id").cast("int").alias("I2"), F.expr(f"ST_MakePoint({hi}, {hi})").alias("pt2"),
@@ -45,6 +48,7 @@ MODIFY = schema("I:Integer,L:Long,F:Float,D:Double,U:UUID,S:String,B:Boolean,TS:
 
 
 def modify_rows(spark: SparkSession, n: int) -> DataFrame:
+    jts.register(spark)
     k = F.col("id")
     return spark.range(n).select(
         F.concat(F.lit("#"), k).alias("__FID__"), k.cast("int").alias("I"), (k + 10000000000).alias("L"), (k * 0.1).cast("float").alias("F"), (k * 0.01).alias("D"),
