@@ -17,16 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
-import shutil
-import subprocess
 import tempfile
-import zipfile
 from pathlib import Path
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quadrille import compiled
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 TEMPERATURE = 0.5
@@ -65,21 +62,11 @@ _registered: dict[str, str] = {}
 
 
 def _register(spark: SparkSession) -> str:
-    """Compile the kernel once per content against Spark's jars and make it callable; executors fetch it."""
+    """Compile the search for this session and make it callable; executors fetch it from the driver."""
     session = f"{spark.sparkContext.applicationId}-{spark._jsparkSession.sessionUUID()}"
     if session in _registered:
         return _registered[session]
-    key = hashlib.sha256(SOURCE.read_bytes() + pyspark.__version__.encode()).hexdigest()[:16]
-    compiler = shutil.which("javac") or (os.environ.get("JAVA_HOME") and shutil.which("javac", path=f"{os.environ['JAVA_HOME']}/bin"))
-    if not compiler:
-        raise RuntimeError("sampled segmentations need javac on PATH or in JAVA_HOME of the driver")
-    folder = Path(tempfile.mkdtemp(prefix="quadrille-"))
-    subprocess.run([compiler, "-nowarn", "-d", str(folder), "-cp", f"{Path(pyspark.__file__).with_name('jars')}/*", str(SOURCE)], check=True, capture_output=True)
-    jar = folder / f"segmenter-{key}.jar"
-    with zipfile.ZipFile(jar, "w") as out:
-        for f in sorted(folder.rglob("*.class")):
-            out.write(f, f.relative_to(folder))
-    spark.sql(f"ADD JAR '{jar.resolve()}'")
+    compiled.add(spark, SOURCE)
     result = "array<struct<sample:int,n_pieces:bigint,log_prob:double,perturbed:double,inclusion:double,ids:array<int>,ids_sha256:string,round_trip:boolean>>"
     spark.udf.registerJavaFunction("__segmentations", "quadrille.llm.Segmenter", result)
     return _registered.setdefault(session, "__segmentations")
