@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.graph import components
-from quadrille.llm.storage import materialise, release
+from quadrille.llm.storage import materialise, without
 
 SEED = 42
 SHINGLE = 3
@@ -178,11 +178,14 @@ def links(nodes: DataFrame, most: int = 4096) -> DataFrame:
             now = now.join(_mask_table(nodes, finer), "mask")
             masks = F.col("finer")
         postings = now.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if depth:  # one finer mask is reached from several coarser ones
+            postings = postings.distinct()
         dealt = postings.repartition("mask", "key").sortWithinPartitions("mask", "key")
-        found = materialise(dealt.mapInArrow(_scan(most), "a long, b long, mask long, hot boolean"), "simhash-links")
+        bound = most if depth + 1 < len(LEVELS) else 1 << 8  # the last level leaves 8 bits open
+        found = materialise(dealt.mapInArrow(_scan(bound), "a long, b long, mask long, hot boolean"), "simhash-links")
         pairs = found.where("not hot").select("a", "b")
         out = pairs if out is None else out.unionAll(pairs)
-        now = found.where("hot").select(F.col("a").alias("fp"), "mask")
+        now = found.where("hot").select(F.col("a").alias("fp"), "mask").distinct()
         if now.isEmpty():
             return out
     return out
@@ -215,4 +218,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest. A null doc_id names
     no row, so such rows all stay, as do rows that repeat the smallest doc_id."""
     gone = near_duplicates(docs, id_col, text_col, most).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    return without(docs, materialise(gone, "simhash-gone"), id_col)

@@ -6,15 +6,18 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local one is made."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a local one is made in local mode, as in tests; on a
+    cluster, whose executors would not share it, that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quadrille-"))
     return found.rstrip("/")
 
@@ -54,6 +57,45 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.pmod(h, F.lit(1 << 20)), h, key).limit(n)
 
 
+#: Bits of a ``bitmap``: a fixed bound of 16 MB for a broadcast, whatever the number of keys.
+BITS = 1 << 27
+
+
+def _place(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BITS)) + F.lit(1).cast("long")
+
+
+def bitmap(hashes: DataFrame, name: str) -> DataFrame:
+    """A bitmap of the values in column ``name`` (long) of ``hashes``, in at most 4096 rows of 4 KB."""
+    x = hashes.select(_place(F.col(name)).alias("x")).select(F.bitmap_bucket_number("x").alias("__bucket"), F.bitmap_bit_position("x").alias("p"))
+    return x.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("p").alias("__bits"))
+
+
+def member(df: DataFrame, hashed: Column, bits: DataFrame, name: str) -> DataFrame:
+    """``df`` with boolean column ``name``: whether ``hashed`` may be in the bitmap. False is certain; what is true by
+    chance (a share that grows with the bits set) needs an exact check. The bitmap is broadcast, nothing is shuffled."""
+    h, bucket, kept = fresh(df, "__h"), fresh(df, "__bucket"), fresh(df, "__bits")
+    rows = df.withColumn(h, _place(hashed)).join(F.broadcast(bits.toDF(bucket + "_", kept)), F.bitmap_bucket_number(h) == F.col(bucket + "_"), "left")
+    p = F.bitmap_bit_position(h)
+    octet = F.conv(F.hex(F.substring(F.col(kept), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    test = F.call_function("shiftright", octet, (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(test, F.lit(False)).alias(name))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in column __id of ``gone`` (null ids compare like values).
+
+    A bitmap of the gone ids splits the rows: most are surely not among them and stay where they are; only the rest, the
+    gone ones and a few by chance, meet the ids themselves, so the texts that stay are not shuffled. ``docs`` is read
+    twice.
+    """
+    bits = bitmap(gone.select(F.xxhash64("__id").alias("h")), "h")
+    mark = fresh(docs, "__maybe")
+    rows = member(docs, F.xxhash64(F.col(id_col)), bits, mark)
+    doubt = rows.where(mark).drop(mark)
+    return rows.where(~F.col(mark)).drop(mark).unionAll(doubt.join(gone, doubt[id_col].eqNullSafe(gone["__id"]), "left_anti"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
