@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quadrille.llm.storage import bounded_sample
 
 PASSAGE_WORDS = 50
-#: The fit uses this many labelled documents at most (those of smallest hash), and of each this many evenly spaced
-#: passages at most. Scores always use whole texts.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 24
+#: The fit uses this many labelled documents at most (those of smallest hash), with all their passages.
+SAMPLE_DOCS = 3000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, SEED = 24, 12, 25, 64, 0.01, 7
 THRESHOLD = 0.3
 SLICE = 2048
@@ -158,28 +157,25 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from a bounded sample of labelled documents outside the held-out fifth; None if none is labelled.
 
-    Of several labels of one document the largest counts. The sample's ids are at most ``sample_docs`` rows and are
-    broadcast; one scan of ``docs`` gathers its features, a few dozen megabytes at most.
+    Of several labels of one document the largest counts, and of several rows with its id the smallest text (null:
+    empty). The sample's ids are at most ``sample_docs`` rows and are broadcast; one scan of ``docs`` finds their texts,
+    at most one for each id leaves a task, and the driver gets one bag of all its passages for each id.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = bounded_sample(known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("__y")), "__id", sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for text in batch.column(1):
-                x = np.concatenate(list(slices(text.as_py())))
-                pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_PASSAGES)).astype(int))
-                bags.append(x[pick].astype(np.float16).tobytes())
+            bags = [np.concatenate(list(slices(text.as_py()))).astype(np.float16).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("__id")).select("id", "text", F.col("__y").alias("y"))
-    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, y int, bag binary").collect()
-    if not found:
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("__id"))
+    once = rows.groupBy("id", F.col("__y").alias("y")).agg(F.min("text").alias("text")).select("id", "text", "y")
+    found = once.mapInArrow(run, f"id {once.schema['id'].dataType.simpleString()}, y int, bag binary").toArrow().sort_by("id")
+    if not found.num_rows:
         return None
-    found = sorted({(r["id"], bytes(r["bag"])): r["y"] for r in found}.items())[: 2 * sample_docs]
-    bags = [np.frombuffer(bag, np.float16).astype(np.float32).reshape(-1, FEATURES) for (_, bag), _ in found]
-    return Model().fit(bags, np.array([y for _, y in found], np.float32))
+    bags = [np.frombuffer(bag.as_py(), np.float16).astype(np.float32).reshape(-1, FEATURES) for bag in found["bag"]]
+    return Model().fit(bags, found["y"].to_numpy().astype(np.float32))
 
 
 def _scorer(docs: DataFrame, model: Model | None):
@@ -206,7 +202,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` whose score, as ``score`` gives it, reaches ``threshold``, with all their columns.
+
+    Null and empty texts are judged by their score like any other, repeated rows stay or go together, null ids play no
+    part, an empty table stays empty, and without usable labels every row stays. Nothing is shuffled.
+    """
     rate = _scorer(docs, fit(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 

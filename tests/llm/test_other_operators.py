@@ -130,6 +130,58 @@ def test_slices_do_not_change_a_score(monkeypatch):
     assert abs(model.score(quality.slices(text)) - whole) < 1e-6
 
 
+def plain_score(text, p):
+    """Passages, features, gated attention and score of one text, value by value."""
+    raw = (text or "").encode()
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t\x0b\x0c", ".", ",;:", "'\"`()", "-_/\\", "!?", "|<>{}[]", "%&$*#@^~+="]
+    kind = lambda b: next((i for i, k in enumerate(kinds) if chr(b) in k), len(kinds))
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    starts = [w[0] for w in words[::50]] or [0]
+    starts[0] = 0
+    bag = []
+    for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(raw)], strict=True)):
+        single, pairs = [0.0] * 136, [0.0] * 169
+        for i in range(a, b):
+            single[raw[i] if raw[i] < 128 else 128 + (raw[i] - 128) // 16] += 1
+            if i:
+                pairs[kind(raw[i - 1]) * 13 + kind(raw[i])] += 1
+        mine = words[50 * n : 50 * n + 50]
+        same = [sum(i >= lag and words[i][1] == words[i - lag][1] for i in range(50 * n, 50 * n + len(mine))) / len(mine) if mine else 0.0 for lag in (1, 2, 3)]
+        bag.append([math.sqrt(x / max(sum(single), 1)) for x in single] + [math.sqrt(x / max(sum(pairs), 1)) for x in pairs] + [math.sqrt(x) for x in same])
+    product = lambda x, m: [sum(a * float(b) for a, b in zip(x, m[:, j], strict=True)) for j in range(m.shape[1])]
+    hidden, energy = [], []
+    for x in bag:
+        h = [math.tanh(v + float(c)) for v, c in zip(product(x, p["W"]), p["b"], strict=True)]
+        gate = [math.tanh(v) / (1 + math.exp(-u)) for v, u in zip(product(h, p["V"]), product(h, p["U"]), strict=True)]
+        hidden.append(h)
+        energy.append(product(gate, p["w"])[0])
+    weight = [math.exp(e) for e in energy]
+    z = [sum(w * h[j] for w, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-product(z, p["c"])[0] - float(p["d"][0])))
+
+
+def test_scores_equal_a_plain_forward_pass(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    extra = spark.createDataFrame([(-1, None, "", "", 0), (-2, "", "", "", 0), (-3, " \n", "", "", 0), (-4, "é😀 again again", "", "", 0)], docs.schema)
+    model = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.unionAll(extra).collect()}
+    for r in quality.score(docs.unionAll(extra), labels).collect():
+        assert r["score"] == pytest.approx(plain_score(texts[r["doc_id"]], model.p), abs=2e-4), texts[r["doc_id"]]
+        assert r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_fit_takes_all_passages_and_each_id_once(spark, monkeypatch):
+    """One labelled id under thousands of rows leaves the others their place, and no passage is left out."""
+    seen = {}
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y, **_: seen.update(bags=bags, y=y) or self)
+    ids = [i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 5][:18]
+    rows = [(i, f"text {i} " * 50 * (i + 1)) for i in ids] + [(ids[-1], f"text {n} and more") for n in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"), sample_docs=18)
+    assert len(seen["bags"]) == 18 and seen["y"].tolist() == [i % 2 for i in ids]
+    assert [len(b) for b in seen["bags"]] == [2 * (i + 1) for i in ids[:-1]] + [1]
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
     got = quality.score(awkward(spark), labels).collect()
