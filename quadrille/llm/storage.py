@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _made: dict[str, SparkSession] = {}
@@ -42,6 +44,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def filesystem(uri: str):
+    """File system and path for an executor's own reads and writes in the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def read_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, of at most ``rows`` rows, of a table that ``materialise`` wrote; for use in a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, folder = filesystem(path)
+    for info in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(batch_size=rows)
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows with the smallest hash of ``key`` (all, if fewer): ordered by it, the same on every run.
 

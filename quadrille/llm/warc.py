@@ -17,7 +17,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.llm.storage import materialise, new_path
+from quadrille.llm.storage import filesystem, materialise, new_path
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -28,12 +28,6 @@ RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smallest: int = SMALLEST_REVISIT) -> DataFrame:
     """page_id, url, html, digest, refers_to, refers_url for each row; the latter two are null for responses.
 
@@ -108,7 +102,7 @@ def write(pages: DataFrame, path: str | None = None, date: str = "2024-01-01T00:
     folder = path or new_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
+        files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         out, name, at = None, "", 0
         try:
@@ -172,7 +166,7 @@ def read(index: DataFrame, gap: int = GAP_BYTES, most: int = RANGE_BYTES) -> Dat
             for file, offset, length in zip(*(batch.column(n).to_pylist() for n in ("file", "offset", "length")), strict=True):
                 at.setdefault(file, []).append((offset, length))
             for file, entries in at.items():
-                files, name = _filesystem(file)
+                files, name = filesystem(file)
                 with files.open_input_file(name) as source:
                     for start, end, held in ranges(entries, gap, most):
                         source.seek(start)

@@ -63,7 +63,7 @@ def test_a_repeated_id_takes_one_place(spark, spread):
         score[i] = max(score[i], (v * hot).sum())
     del score[100]
     want = sorted(score, key=lambda i: (-score[i], i))[:20]
-    got = vector_search.search(df, df.where("vec_id = 100"), k=20, tasks=1).toPandas().sort_values("rank")
+    got = vector_search.search(df, df.where("vec_id = 100"), k=20).toPandas().sort_values("rank")
     assert got.vec_id.tolist() == want and np.allclose(got.score, [score[i] for i in want])
 
 
@@ -76,6 +76,54 @@ def test_unusable_vectors_take_no_part(spark):
     assert vector_search.search(df.limit(0), df, k=3).count() == 0 and vector_search.search(df, df.limit(0), k=3).count() == 0
 
 
+def test_repeated_rows_leave_room_for_others(spark):
+    rows = [(1, [1.0, 0.0])] * 10 + [(2, [0.9, 0.1]), (3, [0.9, 0.1]), (9, [0.5, 0.5]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.search(df, df.where("vec_id = 0"), k=4).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 9]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_recall_where_few_rows_are_ranked_again(spark, seed):
+    """20,000 vectors in clusters, and 2,000 near-equal ones; few of all products are exact, however rows are batched."""
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((200, 32))
+    x = centres[r.integers(0, 200, 20_000)] + 0.5 * r.standard_normal((20_000, 32))
+    x[:2000] = centres[0] + 1e-3 * r.standard_normal((2000, 32))
+    rows = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    asked = rows.where("vec_id % 100 = 0")
+    got = vector_search.search(rows, asked, k=20).toPandas()
+    ids = np.arange(len(x))
+    hits = sum(len(set(g.vec_id) & set(exact_neighbours(ids, x, q, 20))) for q, g in got.groupby("query_id"))
+    assert len(got) == 200 * 20 and hits / len(got) >= 0.97
+    hot = got[got.query_id < 2000]
+    assert sum(len(set(g.vec_id) & set(exact_neighbours(ids, x, q, 20))) for q, g in hot.groupby("query_id")) / len(hot) >= 0.97
+    exact = vector_search.search(rows, asked, k=20, counted=True).first()["exact"]
+    cold = vector_search.search(rows, asked.where("vec_id >= 2000"), k=20, counted=True).first()["exact"]
+    assert cold < 0.05 * 180 * len(x) and exact < 0.05 * 200 * len(x) + 20 * 2000
+
+
+def test_bounds_do_not_depend_on_batches():
+    r = np.random.default_rng(4)
+    x, q = r.standard_normal((900, 16)), r.standard_normal((7, 16))
+    norm = np.linalg.norm(x, axis=1)
+    books = vector_search.Codebooks.fit(x / norm[:, None], books=4, words=16)
+    codes, left = books.encode((x / norm[:, None]).astype(np.float32))
+    assert np.allclose(x / norm[:, None] - left, sum(books.words[b][codes[:, b]] for b in range(4)), atol=1e-5)
+    rest = (norm * np.linalg.norm(left, axis=1)).astype(np.float32)
+    found = []
+    for cut in (900, 300, 100):
+        merged = [[] for _ in q]
+        for i in range(0, 900, cut):
+            part = slice(i, i + cut)
+            rows = vector_search.Rows(np.arange(900)[part], x[part], norm[part].astype(np.float32), rest[part], codes[part])
+            col, at, score, _ = rows.near(books, np.full(7, -1), q, np.full(7, -np.inf), 5, 6.0)
+            for c, a, s in zip(col, at, score, strict=True):
+                merged[c].append((-s, a))
+        found.append([[a for _, a in sorted(m)[:5]] for m in merged])
+    assert found[0] == found[1] == found[2] == [list(np.argsort(-(x @ v))[:5]) for v in q]
+
+
 def test_beam_search_beats_greedy():
     r = np.random.default_rng(2)
     x = r.standard_normal((500, 16)).astype(np.float32)
@@ -83,12 +131,14 @@ def test_beam_search_beats_greedy():
     books = vector_search.Codebooks.fit(x, books=4, words=16)
 
     def error(beam):
-        codes = books.encode(x, beam)
-        return ((x - sum(books.words[b][codes[:, b]] for b in range(4))) ** 2).sum()
+        codes, left = books.encode(x, beam)
+        error = ((x - sum(books.words[b][codes[:, b]] for b in range(4))) ** 2).sum()
+        assert error == pytest.approx((left**2).sum(), rel=1e-3)
+        return error
 
     assert error(8) <= error(1) < (x**2).sum()
     lut = books.tables(x[:3])
-    codes = books.encode(x)
+    codes, _ = books.encode(x)
     assert np.allclose(sum(lut[:, b][:, codes[:, b]] for b in range(4)), x[:3] @ sum(books.words[b][codes[:, b]] for b in range(4)).T, atol=1e-4)
 
 
