@@ -1,23 +1,30 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
+"""Best-fit packing of documents into token sequences of several permitted lengths.
 
-Items go by falling length into the open bin that they fill best. Where none fits, the bin size with the least cost per
-token that it can expect to hold is opened; sizes are weighed together, with each single size as an alternative
+Texts become token ids by a byte-level BPE; a text's ids are cut into segments of the largest permitted length at most.
+Segments go by falling length into the open bin that they fill best. Where none fits, the bin size with the least cost
+per token that it can expect to hold is opened; sizes are weighed together, with each single size as an alternative
 preference, and the cheapest plan of a group is taken. At last each bin shrinks to the smallest permitted length that
-holds its contents. Groups are dealt by row, so that each has a bounded number of items whatever ids or lengths repeat.
+holds its contents, and its sequence is written out. A group is a stretch of the rows that one task reads, of bounded
+size whatever ids or lengths repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.llm.storage import materialise
+from quadrille.llm.token_counts import VOCABULARY, read_ranks
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-GROUP_ITEMS = 50_000
+#: A group is full with so many segments or tokens.
+GROUP_ITEMS, GROUP_TOKENS = 50_000, 1 << 23
+#: Fixed value: how the vocabulary's BPE cuts a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cost of a sequence in token units: a fixed overhead, its length, and attention that grows with its square.
 OVERHEAD, SQUARE_AT = 64.0, 65536.0
 
@@ -81,49 +88,131 @@ def pack_group(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -
     return bins, best[2], best[3]
 
 
-OUT = "segment long, start long, n_tokens long, pack_group long, bin long, bin_capacity long, bin_tokens long, bin_offset long"
-
-
-def pack(lengths: DataFrame, id_col: str = "doc_id", tokens_col: str = "n_tokens", capacities: Sequence[int] = CAPACITIES, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """Place every token of every row: doc_id, segment, start, n_tokens, pack_group, bin, bin_capacity, bin_tokens,
-    bin_offset.
-
-    Rows longer than the largest capacity become several segments that follow each other (start: first token). Rows
-    with null, zero or negative length have one row with n_tokens 0 and no bin. (pack_group, bin) names a bin,
-    bin_offset is where the segment begins in it. Repeated rows and null ids are placed like any other; other columns
-    are not read. Items are written with a row number first: groups are dealt by it and never hold more than twice
-    ``group_items`` on average, and a repeated task deals alike.
+@dataclass(frozen=True)
+class Tokenizer:
+    """A byte-level BPE, which loses nothing: decoding all ids of a text gives the text. Built once in each worker."""
+
+    ranks: tuple[bytes, ...]
+    pattern: str = PATTERN
+
+    def encoding(self):
+        key = hash((self.ranks, self.pattern))
+        if key not in _built:
+            import tiktoken
+
+            _built[key] = tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks={b: i for i, b in enumerate(self.ranks)}, special_tokens={})
+        return _built[key]
+
+    def decode(self, ids) -> str:
+        return self.encoding().decode_bytes(list(ids)).decode("utf-8", "surrogatepass")
+
+
+_built: dict[int, object] = {}
+
+
+def tokenizer(vocabulary: str = VOCABULARY) -> Tokenizer:
+    """The tokenizer of a vocabulary file, read on the driver."""
+    return Tokenizer(tuple(read_ranks(vocabulary)))
+
+
+class _Group:
+    """The segments that a task has gathered, up to a number of them and of their tokens."""
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.segment: list[int] = []
+        self.ids: list[np.ndarray] = []
+        self.empty: list[int] = []
+        self.tokens = 0
+
+    def add(self, doc: int, ids: np.ndarray, largest: int) -> None:
+        if not len(ids):
+            self.empty.append(doc)
+        for n, i in enumerate(range(0, len(ids), largest)):
+            self.docs.append(doc)
+            self.segment.append(n)
+            self.ids.append(ids[i : i + largest])
+        self.tokens += len(ids)
+
+    def bins(self, name: int, id_values: pa.Array, capacities: Sequence[int]) -> pa.RecordBatch:
+        where, final, used = pack_group([len(x) for x in self.ids], capacities)
+        order = sorted(range(len(where)), key=lambda i: where[i])  # stable: the order of arrival within a bin
+        sizes = np.bincount(where, minlength=len(final)) if where else np.zeros(0, np.int64)
+        bin_no, capacity, total = list(range(len(final))), list(final), list(used)
+        docs = [self.docs[i] for i in order] + self.empty
+        segment = np.array([self.segment[i] for i in order] + [0] * len(self.empty), np.int64)
+        length = np.array([len(self.ids[i]) for i in order] + [0] * len(self.empty), np.int64)
+        flat = np.concatenate([self.ids[i] for i in order] or [np.zeros(0, np.int32)])
+        if self.empty:
+            bin_no, capacity, total, sizes = [*bin_no, None], [*capacity, None], [*total, 0], np.append(sizes, len(self.empty))
+        parts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+
+        def lists(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(parts, values)
+
+        columns = [
+            pa.array([name] * len(bin_no), pa.int64()), pa.array(bin_no, pa.int64()), pa.array(capacity, pa.int64()), pa.array(total, pa.int64()),
+            pa.array([None if c is None else c - t for c, t in zip(capacity, total, strict=True)], pa.int64()),
+            lists(id_values.take(pa.array(docs, pa.int64()))), lists(pa.array(segment)), lists(pa.array(segment * max(capacities))), lists(pa.array(length)),
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(total))), pa.int32()), pa.array(flat, pa.int32())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+
+
+COLUMNS = ["pack_group", "bin", "bin_capacity", "n_tokens", "waste", "doc_ids", "segments", "starts", "lengths", "token_ids"]
+
+
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokens: Tokenizer | None = None,
+    capacities: Sequence[int] = CAPACITIES,
+    group_items: int = GROUP_ITEMS,
+    group_tokens: int = GROUP_TOKENS,
+) -> DataFrame:
+    """Sequences that hold every token of every row: one row for each bin, named by (pack_group, bin).
+
+    bin_capacity is the permitted length it has after downsizing, n_tokens what it holds, waste the rest of it, and
+    token_ids its contents. The arrays doc_ids, segments, starts and lengths tell, in the order of the contents, the
+    document of each segment, its number, the token of the document it begins with, and its tokens. A text with more
+    tokens than the largest capacity becomes several segments.
+
+    Null, empty texts have no tokens: their documents are listed, with length 0, in a row of their group whose bin is
+    null. Repeated rows and null ids are placed like any other, an empty table gives no rows, and other columns are not
+    read. Texts are tokenised whole and packed where they are read: a task fills a group until it has ``group_items``
+    segments or ``group_tokens`` tokens, sends its bins and begins the next, so nothing is shuffled, memory is bounded
+    but for the longest text, and a lost executor costs its own tasks.
     """
     capacities = sorted(capacities)
-    largest = capacities[-1]
-    n = F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0))
-    rows = lengths.select(F.col(id_col).alias("doc_id"), n.alias("n"))
-    segments = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("n") - 1) / largest), F.lit(0).cast("long")))
-    items = rows.select("doc_id", "n", F.explode(segments).alias("segment")).select(
-        "doc_id", "segment", (F.col("segment") * largest).alias("start"), F.least(F.lit(largest), F.col("n") - F.col("segment") * largest).cast("long").alias("n_tokens"),
-        F.monotonically_increasing_id().alias("__rid"),
-    )
-    items = materialise(items, "pack-items")
-    groups = max(1, -(-items.where("n_tokens > 0").count() // group_items))
-    dealt = items.withColumn("pack_group", F.pmod(F.xxhash64("__rid"), F.lit(groups)).cast("long"))
-    kind = items.schema["doc_id"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table, [("n_tokens", "descending"), ("__rid", "ascending")]))
-        full = table.filter(pa.compute.greater(table["n_tokens"], 0))
-        none = table.filter(pa.compute.equal(table["n_tokens"], 0))
-        sizes = full["n_tokens"].to_pylist()
-        bins, final, used = pack_group(sizes, capacities)
-        at, offsets = [0] * len(final), []
-        for b, n in zip(bins, sizes, strict=True):
-            offsets.append(at[b])
-            at[b] += n
-        picked = [bins, [final[b] for b in bins], [used[b] for b in bins], offsets]
-        out = []
-        for part, more in ((full, picked), (none, [[None] * none.num_rows] * 4)):
-            for name, values in zip(("bin", "bin_capacity", "bin_tokens", "bin_offset"), more, strict=True):
-                part = part.append_column(name, pa.array(values, pa.int64()))
-            out.append(part)
-        return pa.concat_tables(out).select(["doc_id", *(x.split()[0] for x in OUT.split(", "))])
-
-    return dealt.groupBy("pack_group").applyInArrow(run, f"doc_id {kind}, {OUT}")
+    shared = docs.sparkSession.sparkContext.broadcast(tokens or tokenizer())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = shared.value.encoding().encode_ordinary
+        where = TaskContext.get()
+        first, made = (where.partitionId() if where else 0) << 32, 0
+        group, ids = _Group(), []
+        for batch in batches:
+            ids.append(batch.column(0))
+            base = sum(map(len, ids[:-1]))
+            for i, text in enumerate(batch.column(1)):
+                group.add(base + i, np.array(encode(text.as_py()), np.int32), capacities[-1])
+                if len(group.ids) + len(group.empty) >= group_items or group.tokens >= group_tokens:
+                    yield group.bins(first + made, pa.concat_arrays(ids), capacities)
+                    made, group, ids, base = made + 1, _Group(), [batch.column(0)], 0
+        if group.ids or group.empty:
+            yield group.bins(first + made, pa.concat_arrays(ids), capacities)
+
+    out = f"pack_group long, bin long, bin_capacity long, n_tokens long, waste long, doc_ids array<{kind}>, segments array<long>, starts array<long>, lengths array<long>, token_ids array<int>"
+    return rows.mapInArrow(run, out)
+
+
+def segments(packed: DataFrame) -> DataFrame:
+    """One row per segment of ``pack``: doc_id, segment, start, n_tokens, pack_group, bin, bin_offset, token_ids."""
+    at = F.aggregate("lengths", F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    rows = packed.withColumn("__at", F.slice(at, F.lit(1), F.size("lengths")))
+    parts = F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("segments").alias("segment"), F.col("starts").alias("start"), F.col("lengths").alias("n_tokens"), F.col("__at").alias("bin_offset"))
+    one = rows.select("pack_group", "bin", "token_ids", F.explode(parts).alias("s"))
+    return one.select("s.doc_id", "s.segment", "s.start", "s.n_tokens", "pack_group", "bin", "s.bin_offset", F.slice("token_ids", F.col("s.bin_offset").cast("int") + 1, F.col("s.n_tokens").cast("int")).alias("token_ids"))

@@ -56,7 +56,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(token_counts.count_tokens(table(spark, sf_dir, "documents")))
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import chat_format, exact_dedup, packing, quality, secrets, token_counts, vector_search, warc
+from quadrille.llm import chat_format, exact_dedup, packing, quality, secrets, vector_search, warc
 from quadrille.llm.registry import ORACLES, QUERIES, table
 from tests.llm.helpers import CLASHING, awkward, empty
 from tests.llm.test_text_operators import least_reachable, normal, plain_simhash, redacted
@@ -350,21 +350,53 @@ def test_packing_equals_plain_best_fit(seed):
     assert sum(map(packing.cost, size)) == pytest.approx(min(plain_fill(falling, capacities, least) for least in (None, *capacities)))
 
 
-def test_pack_places_every_token(spark):
-    rows = [(1, 20_000), (2, 0), (3, None), (4, 8192), (5, 1), (5, 1), (None, 700), (6, 8193), (7, -3)] + [(i, i % 900 + 1) for i in range(10, 400)]
-    df = spark.createDataFrame(rows, "doc_id long, n_tokens long").withColumns({c: F.lit(1) for c in ("bin", "segment", "pack_group", "__rid", "start", "n")})
-    got = packing.pack(df, group_items=100).toPandas()
+SMALL = (16, 32, 64)
+
+
+def test_bins_decode_to_the_texts(spark):
+    """Every token of every row is in a bin, once, and decoding the segments of a text gives it back."""
+    rng = random.Random(2)
+    words = ["alpha", "b", " ", "\n", "größe", "😀", "don't", "x1y2", "  ", "…"]
+    rows = [(i, "".join(rng.choice(words) for _ in range(rng.randint(0, 150)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, "long text " * 900), (None, "no id"), (1003, "twice"), (1003, "twice"), (1004, "q" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("bin", "segment", "pack_group", "token_ids", "lengths", "n")})
+    tokens = packing.tokenizer()
+    packed = packing.pack(df.coalesce(1), capacities=SMALL, group_items=100).persist()
+    got = packing.segments(packed).toPandas()
+    bins = packed.toPandas()
+    assert got.pack_group.nunique() > 3 and len(bins[["pack_group", "bin"]].drop_duplicates()) == len(bins)
+    for _, b in bins[bins.bin.notna()].iterrows():
+        assert len(b.token_ids) == b.n_tokens == sum(b.lengths) and b.waste == b.bin_capacity - b.n_tokens >= 0
+        assert b.bin_capacity == min(c for c in SMALL if c >= b.n_tokens)
     placed = got[got.n_tokens > 0]
-    assert placed.n_tokens.sum() == sum(max(n or 0, 0) for _, n in rows) and got.pack_group.nunique() > 2
-    assert got[got.doc_id.isin([2, 3, 7])].bin.isna().all() and len(got[got.doc_id == 1]) == 3 and len(got[got.doc_id == 6]) == 2
-    for _, g in placed.groupby(["pack_group", "bin"]):
-        g = g.sort_values("bin_offset")
-        assert g.bin_offset.tolist() == [0, *np.cumsum(g.n_tokens)[:-1]] and g.n_tokens.sum() == g.bin_tokens.iloc[0] <= g.bin_capacity.iloc[0]
-    one = got[got.doc_id == 1].sort_values("segment")
-    assert one.start.tolist() == [0, 8192, 16384] and one.n_tokens.tolist() == [8192, 8192, 3616]
+    once = placed[placed.doc_id != 1003].sort_values("segment").groupby("doc_id", dropna=False).token_ids.apply(lambda parts: tokens.decode([t for p in parts for t in p]))
+    want = {i: t for i, t in rows if t}
+    assert {i: once[i] for i in want if i not in (None, 1003)} == {i: t for i, t in want.items() if i not in (None, 1003)}
+    assert once[once.index.isna()].tolist() == ["no id"] and len(placed[placed.doc_id == 1003]) == 2
+    assert set(got[got.n_tokens == 0].doc_id) == {i for i, t in rows if not t} and got[got.n_tokens == 0].bin.isna().all()
+    cut = got[got.doc_id == 1002].sort_values("segment")
+    assert cut.segment.tolist() == list(range(len(cut))) and cut.start.tolist() == [64 * i for i in range(len(cut))] and (cut.n_tokens[:-1] == 64).all()
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packed_ids_are_the_tokenizers_and_bins_are_best_fits(spark, sf):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(packing.VOCABULARY, "rb"))}  # noqa: SIM115
+    encode = tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").collect()}
+    packed = QUERIES["op10_best_fit_packing"](spark, sf).persist()
+    got = defaultdict(list)
+    for r in packing.segments(packed).orderBy("segment").collect():
+        got[r["doc_id"]] += r["token_ids"]
+    assert got == {i: encode(t) for i, t in texts.items()}
+    for _, g in packed.where("bin is not null").toPandas().groupby("pack_group"):
+        falling = sorted((n for b in g.lengths for n in b), reverse=True)
+        assert sum(map(packing.cost, g.bin_capacity)) == pytest.approx(min(plain_fill(falling, packing.CAPACITIES, least) for least in (None, *packing.CAPACITIES)))
+
+
 # -- pipeline and registry -----------------------------------------------------------------------------------------
 def test_pipeline_equals_brute_force(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -377,9 +409,10 @@ def test_pipeline_equals_brute_force(spark, sf):
             unique.append(r)
     least = least_reachable([r["doc_id"] for r in unique], [plain_simhash(r["text"]) for r in unique])
     kept = {r["doc_id"]: redacted(r["text"]) for r, w in zip(unique, least, strict=True) if r["doc_id"] == w}
-    memo = token_counts.Memo(token_counts.Automaton(token_counts.read_ranks(token_counts.VOCABULARY)))
-    got = corpus_pipeline.run(spark, sf).toPandas()
-    assert got.groupby("doc_id").n_tokens.sum().to_dict() == {i: sum(memo[w] for w in t.encode().split()) for i, t in kept.items()}
+    ids = defaultdict(list)
+    for r in packing.segments(corpus_pipeline.run(spark, sf)).orderBy("segment").collect():
+        ids[r["doc_id"]] += r["token_ids"]
+    assert {i: packing.tokenizer().decode(x) for i, x in ids.items()} == kept
     assert 0 < len(kept) < docs.count() and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
 
 
@@ -426,7 +459,7 @@ def test_stages_on_awkward_and_empty_documents(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, sf)
             rows = now.count()
-            assert rows <= start.count() and (name == "best-fit packing" or now.columns == docs.columns), name
+            assert name == "best-fit packing" or rows <= start.count() and now.columns == docs.columns, name
         assert (rows > 0) == (start is docs)
 
 
