@@ -15,10 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quadrille.llm.storage import fresh
 
 #: The kinds and their patterns. Words match in either ASCII case.
-ASSIGN = (
-    r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-)
+ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
@@ -60,6 +57,10 @@ ALLOW = (
 )
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+
 def _spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None = None) -> Column:
     """Array of struct(start, kind, end) of the leftmost non-overlapping matches; ``least`` (group, characters) drops
     matches whose group is shorter, after they have taken their place."""
@@ -80,15 +81,23 @@ def _spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None
 
 
 def base_spans(text: Column) -> Column:
-    """The spans of the three fixed kinds, by start, then kind."""
-    return F.array_sort(F.concat(_spans(text, ASSIGN, 0, (2, LEAST_VALUE)), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
+    """The spans of the three fixed kinds, by start, then kind. Every match of the last two lies in a candidate, so a
+    text without candidates is passed over once, not three times; without ':' or '=' nothing is assigned."""
+    assigned = F.when(text.contains(":") | text.contains("="), _spans(text, ASSIGN, 0, (2, LEAST_VALUE))).otherwise(_none())
+    others = F.when(text.rlike(CANDIDATE), F.concat(_spans(text, ACCESS, 1), _spans(text, HEX, 2))).otherwise(_none())
+    return F.array_sort(F.concat(assigned, others))
+
+
+#: Counts of a window fit in 5 bits; so many share a long.
+COUNT_BITS, PER_LONG = 5, 12
 
 
 def _windows(candidate: Column, start: Column, cls: CharClass) -> Column:
     """Maximal stretches of ``candidate`` covered by windows with at least ``cls.bits`` bits, as spans.
 
-    State: characters seen, counts per character of the window, the sum of n log2 n over them, and the spans so far.
-    A window's entropy is log2 W - sum / W, and each step changes the sum by two terms only.
+    State: characters seen, counts per character of the window packed in a few longs, the sum of n log2 n over them, the
+    stretch that is open, and the spans before it. A window's entropy is log2 W - sum / W; each step reads two counts,
+    changes the sum by two terms and adds one unit to the counts and takes one from them.
     """
     kind, n = KINDS.index(cls.kind), len(cls.alphabet)
     most = math.log2(WINDOW) * WINDOW - cls.bits * WINDOW + 1e-9  # entropy >= bits, as a bound of the sum
@@ -98,33 +107,48 @@ def _windows(candidate: Column, start: Column, cls: CharClass) -> Column:
         F.split(F.translate(folded, cls.alphabet, "".join(map(chr, range(0x100, 0x100 + n)))), ""),
         lambda c: F.least(F.ascii(c) - 0x100, F.lit(n - 1)),
     )
-    steps = F.arrays_zip(chars.alias("new"), F.concat(F.array_repeat(F.lit(-1), WINDOW), chars).alias("old"))
+
+    def place(i: Column) -> Column:
+        return F.struct((i / PER_LONG).cast("int").alias("word"), (i % PER_LONG * COUNT_BITS).alias("shift"), F.call_function("shiftleft", F.lit(1).cast("long"), (i % PER_LONG * COUNT_BITS).cast("int")).alias("unit"))
+
+    none = F.struct(F.lit(-1).alias("word"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("unit"))
+    places = F.transform(chars, place)
+    steps = F.arrays_zip(places.alias("new"), F.concat(F.array_repeat(none, WINDOW), places).alias("old"))
 
     def add(acc: Column, x: Column) -> Column:
-        after = F.transform(acc["counts"], lambda c, i: c - (i == x["old"]).cast("int") + (i == x["new"]).cast("int"))
-
-        def change(i: Column) -> Column:
-            was, now = (F.coalesce(F.get(n, i), F.lit(0)) for n in (acc["counts"], after))  # none leaves at first: i = -1
-            return F.get(term, now) - F.get(term, was)
-
-        both = change(x["new"]) + F.when(x["old"] == x["new"], 0.0).otherwise(change(x["old"]))
-        total, seen = acc["sum"] + both, acc["seen"] + 1
-        left, right = start + seen - WINDOW, start + seen
-        last = F.element_at(acc["out"], -1)
-        new = F.struct(left.alias("start"), F.lit(kind).alias("kind"), right.alias("end"))
-        grown = F.struct(last["start"].alias("start"), F.lit(kind).alias("kind"), right.alias("end"))
-        joins = (F.size(acc["out"]) > 0) & (last["end"] >= left)
-        spans = F.when(joins, F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc["out"], F.array(new)))
-        hit = (seen >= WINDOW) & (total <= most)
-        return F.struct(seen.alias("seen"), after.alias("counts"), total.alias("sum"), F.when(hit, spans).otherwise(acc["out"]).alias("out"))
+        new, old = x["new"], x["old"]
+        same = (new["word"] == old["word"]) & (new["shift"] == old["shift"])
+
+        def count(c: Column) -> Column:
+            return F.call_function("shiftright", F.get(acc["counts"], c["word"]), c["shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+        after = F.transform(
+            acc["counts"],
+            lambda w, k: w + F.when(new["word"] == k, new["unit"]).otherwise(F.lit(0).cast("long")) - F.when(old["word"] == k, old["unit"]).otherwise(F.lit(0).cast("long")),
+        )
+        came = F.get(term, count(new) + 1) - F.get(term, count(new))
+        left = F.when(old["word"] >= 0, F.get(term, count(old) - 1) - F.get(term, count(old))).otherwise(0.0)
+        total, seen = acc["sum"] + F.when(same, 0.0).otherwise(came + left), acc["seen"] + 1
+        first, end = start + seen - WINDOW, start + seen
+        hit, joins = (seen >= WINDOW) & (total <= most), acc["end"] >= first
+        closed = F.when(hit & ~joins & (acc["end"] >= 0), F.concat(acc["out"], F.array(_span(acc["start"], kind, acc["end"])))).otherwise(acc["out"])
+        return F.struct(
+            seen.alias("seen"), after.alias("counts"), total.alias("sum"),
+            F.when(hit & ~joins, first).otherwise(acc["start"]).alias("start"), F.when(hit, end).otherwise(acc["end"]).alias("end"), closed.alias("out"),
+        )
 
     begin = F.struct(
-        F.lit(0).alias("seen"),
-        F.array_repeat(F.lit(0), n).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"),
+        F.lit(0).alias("seen"), F.array_repeat(F.lit(0).cast("long"), -(-n // PER_LONG)).alias("counts"), F.lit(0.0).alias("sum"),
+        F.lit(-1).alias("start"), F.lit(-1).alias("end"), _none().alias("out"),
+    )
+    return F.aggregate(
+        F.filter(steps, lambda x: x["new"].isNotNull()), begin, add,
+        lambda acc: F.when(acc["end"] >= 0, F.concat(acc["out"], F.array(_span(acc["start"], kind, acc["end"])))).otherwise(acc["out"]),
     )
-    return F.aggregate(F.filter(steps, lambda x: x["new"].isNotNull()), begin, add, lambda acc: acc["out"])
+
+
+def _span(start: Column, kind: int, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
 
 
 def _hits(text: Column, pattern: str, start: Column | int = 0) -> Column:
@@ -134,7 +158,7 @@ def _hits(text: Column, pattern: str, start: Column | int = 0) -> Column:
 
 def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
     """Spans of the entropy kinds in candidates, and in stretches of them, that no pattern of ``allow`` suppresses."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    empty = _none()
     whole = _hits(text, CANDIDATE)
     suspects = F.filter(whole, lambda c: ~_any(c["hit"], allow) & _any(c["hit"], tuple(x.pattern for x in CLASSES)))
     pieces = F.filter(_hits(text, PIECE), lambda c: ~_any(c["hit"], allow))
