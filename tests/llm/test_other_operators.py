@@ -277,7 +277,20 @@ def test_chat_examples_and_digest(spark):
         reply = re.sub(chat_format.ESCAPED, r"\1\2\3", r["text"][r["loss_start"] : r["loss_end"]])
         assert r["text"].startswith("<s>[INST] user [/INST]") and reply == TRICKY[2 * r["example_no"] + 1]
         assert r["context_chars"] == r["loss_start"] and len(r["text"]) == r["loss_end"]
-    assert chat_format.digest(df.limit(0)).count() == 0
+    short = {(r["conv_id"], r["example_no"]): r for r in chat_format.examples(df).collect()}
+    assert len(short) == sum(r == "assistant" for c in by for _, r, _ in by[c])
+    for r in chat_format.with_text(chat_format.conversations(df)).collect():
+        e = short[r["conv_id"], r["example_no"]]
+        assert r["text"][r["loss_start"] :] == e["reply"] and all(r[c] == e[c] for c in ("target_turn", "turn_start", "context_chars", "loss_start", "loss_end"))
+    assert chat_format.digest(df.limit(0)).count() == 0 and chat_format.examples(df.limit(0)).count() == 0
+
+
+def test_one_long_conversation(spark):
+    """Thousands of turns in one conversation cost no more than as many in many."""
+    df = spark.range(6000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' é<s>', 40)) AS text")
+    r = chat_format.digest(df).first()
+    loss = "".join(f"turn {i}" + " é<s>" * 40 for i in range(1, 6000, 2))
+    assert r["n_turns"] == 6000 and r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
 def test_chat_runs_no_python(spark, sf):
