@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     stores = dict(c.split("=", 1) if "=" in c else ("store", c) for c in args.catalog)
     engine = connect(stores)
     if len(stores) == 1:
-        engine.spark.catalog.setCurrentDatabase(next(iter(stores)))
+        engine.use(next(iter(stores)))
     if args.execute or args.file:
         text = args.execute
         if args.file:

@@ -14,7 +14,7 @@ from quadrille import compiled
 from quadrille.geometry import jts
 from quadrille.operators.feature_table import FeatureTable
 from quadrille.plans import spatial_sql
-from quadrille.plans.literals import demote, dialect, find_word, fold_casts, split_top
+from quadrille.plans.literals import Tokens, demote, dialect, find_word, fold_casts, split_top
 from quadrille.session import session
 from quadrille.sources import readers
 from quadrille.types import display_type
@@ -39,6 +39,7 @@ class Engine:
         self.folders: dict[str, tuple[str, float]] = {}
         self.known: dict[str, list[str]] = {DEFAULT: []}
         self.temporary: set[tuple[str, str]] = set()  # tables that are temporary views, which have no database
+        self.current = DEFAULT
 
     # -- catalog -------------------------------------------------------------------------------------------------
     def attach(self, name: str, path: str) -> list[str]:
@@ -84,9 +85,24 @@ class Engine:
         self._note(db, table)
 
     def _refresh(self, name: str) -> None:
+        """Point the names of a feature table at its newest version."""
         db, table = name.split(".")
-        columns = ", ".join(f"`{c}`" for c in self.features[name].read().columns)
-        self.spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`{table}` AS SELECT {columns} FROM parquet.`{self.features[name].current()}`")
+        rows = self.features[name].read()
+        if db == DEFAULT:
+            rows.createOrReplaceTempView(table)
+            return
+        rows.createOrReplaceTempView(f"__{db}_{table}")
+        self.temporary.add((db, table))
+        if db == self.current:
+            rows.createOrReplaceTempView(table)
+
+    def use(self, db: str) -> None:
+        """Let plain names mean the tables of ``db``."""
+        self.spark.catalog.setCurrentDatabase(db)
+        self.current = db.lower()
+        for name, table in self.temporary:
+            if name.lower() == self.current:
+                self.spark.table(f"__{name}_{table}").createOrReplaceTempView(table)
 
     def register(self, name: str, source: str | DataFrame | FeatureTable) -> None:
         """Bind one table without discovery: a DataFrame, a feature table, or the path of Parquet data or of one."""
@@ -127,12 +143,32 @@ class Engine:
         return rows
 
     def _feature(self, name: str) -> FeatureTable | None:
-        plain = name.replace("`", "").lower()
-        return self.features.get(plain if "." in plain else f"{DEFAULT}.{plain}")
+        plain = re.sub(r"[`\s]", "", name).lower()
+        names = [plain] if "." in plain else [f"{self.current}.{plain}", f"{DEFAULT}.{plain}"]
+        return next((self.features[n] for n in names if n in self.features), None)
 
     def _resolved(self, name: str) -> str:
-        db, _, table = name.replace("`", "").rpartition(".")
-        return f"__{db}_{table}" if (db, table) in self.temporary else name
+        """The name of the temporary view that stands for a table, or ``name``."""
+        db, _, table = re.sub(r"[`\s]", "", name).lower().rpartition(".")
+        return next((f"__{d}_{t}" for d, t in self.temporary if (d.lower(), t.lower()) == (db, table)), name)
+
+    def _renamed(self, text: str) -> str:
+        """``text`` with names of tables that are temporary views in their place; literals stay as they are."""
+        tokens = Tokens.of(text)
+        solid = tokens.solid()
+        for j, i in enumerate(solid):
+            kind, t = tokens[i]
+            if kind == "quoted" and j + 2 < len(solid) and tokens[solid[j + 1]][1] == ".":  # `db`.`table`
+                whole = "".join(tokens[k][1] for k in range(i, solid[j + 2] + 1))
+                if (new := self._resolved(whole)) != whole:
+                    tokens[i][1] = new
+                    for k in range(i + 1, solid[j + 2] + 1):
+                        tokens[k][1] = ""
+            elif kind == "word" and "." in t:
+                parts = re.split(r"\s*\.\s*", t)
+                if (new := self._resolved(".".join(parts[:2]))) != ".".join(parts[:2]):
+                    tokens[i][1] = ".".join([new, *parts[2:]])
+        return tokens.text()
 
     # -- SQL -----------------------------------------------------------------------------------------------------
     def sql(self, text: str, args: Sequence | Mapping | None = None) -> DataFrame | int:
@@ -143,10 +179,8 @@ class Engine:
             jts.register(self.spark)
         if change := CHANGE.match(text):
             return self._change(re.sub(r"\s+", " ", change[1].upper()), change[2], change[3].strip())
-        for db, t in self.temporary:
-            text = re.sub(rf"(?<![\w.`])`?{re.escape(db)}`?\.`?{re.escape(t)}`?(?![\w`])", f"__{db}_{t}", text, flags=re.I)
         text = demote(text, self._floats(text))
-        text = spatial_sql.prune(self.spark, text, self._feature)
+        text = self._renamed(spatial_sql.prune(self.spark, text, self._feature))
         if args is None and (joined := spatial_sql.rewrite(self.spark, text)) is not None:
             return joined
         return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
@@ -170,21 +204,20 @@ class Engine:
             raise ValueError(f"{name} is not a feature table")
         floats = {f.name for f in feature.read().schema if f.dataType.simpleString() == "float"}
         if verb == "INSERT INTO":
-            n = feature.insert(self._rows(feature, rest))
+            n = feature.insert(self._rows(feature, self._renamed(rest)))
         else:
             cut = find_word(rest, "WHERE")
             where = demote(rest[cut + 5 :].strip(), floats) if cut >= 0 else None
+            near = spatial_sql.envelope(self.spark, where, feature) if where else None
             if verb == "UPDATE":
                 body = rest[: cut if cut >= 0 else len(rest)].strip()
                 if not re.match(r"SET\b", body, re.I):
                     raise ValueError("UPDATE needs SET")
                 pairs = (p.split("=", 1) for p in split_top(body[3:].strip()))
-                n = feature.update({k.strip().strip("`"): v.strip() for k, v in pairs}, where)
+                n = feature.update({k.strip().strip("`"): v.strip() for k, v in pairs}, where, near)
             else:
-                n = feature.delete(where)
-        db, _, table = name.replace("`", "").lower().rpartition(".")
-        self._refresh(f"{db or DEFAULT}.{table}")
-        return n
+                n = feature.delete(where, near)
+        return self._done(name, n)
 
     def _rows(self, feature: FeatureTable, rest: str) -> DataFrame:
         listed = re.match(r"\(((?:[^()'])*)\)\s*(?=SELECT\b|VALUES\b|WITH\b)", rest, re.I)
@@ -218,8 +251,10 @@ class Engine:
         raise ValueError(f"{name} is not a feature table")
 
     def _done(self, name: str, n: int) -> int:
-        plain = name.replace("`", "").lower()
-        self._refresh(plain if "." in plain else f"{DEFAULT}.{plain}")
+        feature = self._need(name)
+        for known, table in self.features.items():
+            if table.path == feature.path:
+                self._refresh(known)
         return n
 
     def cancel(self, tag: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.geometry import jts
 from quadrille.geometry.native import Geometry, Point, as_wkb, exact
+from quadrille.shared import materialise
 
 PREDICATES = ("contains", "within", "intersects", "crosses", "equals", "overlaps", "touches", "covers", "coveredby", "dwithin")
 HOW = {"inner": "inner", "left": "left", "left_outer": "left", "right": "right", "right_outer": "right", "full": "full", "outer": "full", "left_semi": "left_semi", "left_anti": "left_anti"}
@@ -58,6 +59,10 @@ def _top_level(largest: float, size: float, most_cells: int) -> int:
     return next((k for k in range(LEVELS - 1) if (largest / (size * LEVEL_FACTOR**k) + 2) ** 2 <= most_cells), LEVELS - 1)
 
 
+def _numbered(df: DataFrame, key: str | None, name: str) -> DataFrame:
+    return df.select("*", F.col(key).alias(name)) if key else materialise(df.select("*", F.monotonically_increasing_id().alias(name)), "join-side")
+
+
 def spatial_join(
     left: DataFrame,
     right: DataFrame,
@@ -69,13 +74,17 @@ def spatial_join(
     extra: Column | None = None,
     size: float | None = None,
     most_cells: int = 64,
+    left_key: str | None = None,
+    right_key: str | None = None,
 ) -> DataFrame:
     """Join ``left`` and ``right`` where ``predicate`` holds of their geometries and ``extra`` is true.
 
     ``predicate`` is one of ``PREDICATES``; dwithin takes ``distance``. Geometries are ``Point``, ``Box`` or ``Wkb``
     over each side's columns; pairs of points and boxes need no JTS. Column names of the two sides must differ. Rows
     with a null or empty geometry match nothing and stay in outer joins. ``size`` is the finest grid width, by default
-    from the right side's average envelope.
+    from the right side's average envelope. Outer, semi and anti joins tell rows by ``left_key`` and ``right_key``,
+    columns that are unique and not null; a side without one is numbered and written in the shared folder first, so that
+    a row has the same number wherever it is used.
     """
     kind = HOW.get(how)
     if predicate not in PREDICATES or kind is None:
@@ -89,10 +98,9 @@ def spatial_join(
     average, largest, everything = (0.0, 0.0, 0.0) if isinstance(right_geom, Point) and (size or within) else extents(right, right_geom)
     size = size or max(average, 2 * within) or max(everything / 256, 1e-6)
     top = _top_level(max(left_largest, largest), size, most_cells)
-    lid, rid = F.monotonically_increasing_id().alias("__l"), F.monotonically_increasing_id().alias("__r")
     outer = kind != "inner"
-    lrows = left.select("*", lid) if outer else left
-    rrows = right.select("*", rid) if outer else right
+    lrows = _numbered(left, left_key, "__l") if outer else left
+    rrows = _numbered(right, right_key, "__r") if kind in ("left", "right", "full") else right
     test = exact(predicate, left_geom, right_geom, distance)
     if test is None:
         jts.register(left.sparkSession)
@@ -125,12 +133,3 @@ def spatial_join(
         return rows.select(*left.columns, *right.columns)
     rows = lrows.withColumnRenamed("__l", "__ll").join(ids, F.col("__ll") == F.col("__l"), "left")
     return rows.join(rrows, F.col("__rr") == F.col("__r"), kind).select(*left.columns, *right.columns)
-
-
-def nested_loop(left: DataFrame, right: DataFrame, predicate: str, left_geom: Geometry, right_geom: Geometry, how: str = "inner", distance: float | None = None, extra: Column | None = None) -> DataFrame:
-    """The same join by comparing all pairs. Only a yardstick for tests on small tables."""
-    test = exact(predicate, left_geom, right_geom, distance)
-    if test is None:
-        a, b = as_wkb(left_geom), as_wkb(right_geom)
-        test = F.call_function("ST_DWithin", a, b, F.lit(float(distance))) if predicate == "dwithin" else F.call_function("__jts_test", F.lit(predicate), a, b)
-    return left.join(right, test if extra is None else test & extra, HOW[how])

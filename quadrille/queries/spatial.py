@@ -55,7 +55,7 @@ def _join(predicate: str, how: str, distance: float | None = None, extra: bool =
             right = right.withColumn("box", F.call_function("ST_MakeEnvelope", "x0", "y0", "x1", "y1"))
             lg, rg = Wkb("pt"), Wkb("box")
         more = (F.col("c_custkey") + F.col("s_suppkey")) % 2 == 0 if extra else None
-        out = spatial_join(left, right, predicate, lg, rg, how, distance, more)
+        out = spatial_join(left, right, predicate, lg, rg, how, distance, more, left_key="c_custkey", right_key="s_suppkey")
         return out.select("c_custkey") if how in ("left_semi", "left_anti") else out.select("c_custkey", "s_suppkey")
 
     return run

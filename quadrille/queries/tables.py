@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.engine import Engine
 from quadrille.geometry import jts
 from quadrille.operators.feature_table import FeatureTable
 from quadrille.queries.spatial import points
+from quadrille.shared import new_path
 from quadrille.sources import readers
 from quadrille.types import schema, with_fid
 
 SPEC = "c_custkey:Long,c_name:String,c_acctbal:Double,share:Float,pt:Point"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share where the cluster names one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/quadrille-tables"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _features(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
     """An engine with table ``cust``, made from customer with its derived points."""
     engine = Engine(spark)
     jts.register(spark)
     rows = points(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal")
     rows = with_fid(rows, "c_custkey").select("__FID__", "c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") / F.lit(10.0)).alias("share"), F.call_function("ST_MakePoint", "x", "y").alias("pt"))
-    path = scratch(spark)
+    path = new_path(spark, "tables")
     engine.register("cust", FeatureTable.create(spark, path, schema(SPEC), rows))
     return engine, path
 
@@ -83,27 +76,27 @@ def catalog_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
+    path = new_path(spark, "tables")
     spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size").write.csv(path, header=True)
     return readers.delimited(spark, path, schema("p_partkey:Long,p_name:String,p_size:Integer"), "p_partkey")
 
 
 def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
+    path = new_path(spark, "tables")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     part.write.json(path)
     return readers.json(spark, path, part.schema, "p_partkey")
 
 
 def source_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
+    path = new_path(spark, "tables")
     spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand").write.orc(path)
     return readers.orc(spark, path, "p_partkey")
 
 
 def source_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     jts.register(spark)
-    path = scratch(spark)
+    path = new_path(spark, "tables")
     rows = with_fid(points(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey").withColumn("geom", F.call_function("ST_MakePoint", "x", "y"))
     readers.write_geojson(rows.select("__FID__", "c_custkey", "c_name", "geom"), path)
     back = readers.geojson(spark, path, rows.select("c_custkey", "c_name").schema, lines=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.geometry import jts
+from quadrille.geometry.native import as_wkb, exact
+from quadrille.operators.spatial_join import HOW
 from quadrille.types import schema
 
 DATA = "I:Integer,L:Long,F:Float,D:Double,B:Boolean,S:String,U:UUID,TS:Timestamp"
@@ -55,3 +57,12 @@ def modify_rows(spark: SparkSession, n: int) -> DataFrame:
         F.format_string("00000000-0000-0000-0000-000000000%03d", k).alias("U"), F.format_string("str%03d", k).alias("S"), (k % 2 == 0).alias("B"), F.timestamp_seconds(k + 1600000000).alias("TS"),
         F.expr("X'00010203'").alias("bytes"), F.expr("ST_MakePoint(CAST(id % 90 AS DOUBLE), CAST((id + 1) % 90 AS DOUBLE))").alias("geom"),
     )
+
+
+def nested_loop(left: DataFrame, right: DataFrame, predicate: str, left_geom, right_geom, how: str = "inner", distance: float | None = None, extra=None) -> DataFrame:
+    """A spatial join by comparing all pairs: the yardstick for grid joins."""
+    test = exact(predicate, left_geom, right_geom, distance)
+    if test is None:
+        a, b = as_wkb(left_geom), as_wkb(right_geom)
+        test = F.call_function("ST_DWithin", a, b, F.lit(float(distance))) if predicate == "dwithin" else F.call_function("__jts_test", F.lit(predicate), a, b)
+    return left.join(right, test if extra is None else test & extra, HOW[how])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille import cli, types
 from quadrille.engine import Engine, connect
-from quadrille.operators.feature_table import FeatureTable
+from quadrille.operators.feature_table import ConflictError, FeatureTable
 from quadrille.plans.literals import demote, dialect, fold_casts, similar, split_top
 from tests import fixtures
 
@@ -105,6 +105,42 @@ def test_failed_update_changes_nothing(store):
     assert store.table("m").count() == before
 
 
+def test_versions(spark, tmp_path):
+    """A reader keeps its version through changes, only files with hit rows are rewritten, and no change is lost."""
+    table = FeatureTable.create(spark, f"file://{tmp_path}/m", fixtures.MODIFY, fixtures.modify_rows(spark, 60).repartitionByRange(6, "I"))
+    before, files = table.read(), set(table.version().files)
+    assert table.update({"S": "'new'"}, "I = 3") == 1 and len(files - set(table.version().files)) == 1
+    assert table.delete("I >= 50") == 10 and before.count() == 60 and before.where("S = 'new'").count() == 0
+    assert table.read().count() == 50 and table.read(0).count() == 60 and table.versions() == [0, 1, 2]
+    assert table.update({"S": "'x'"}, "I = 4000") == 0 and table.delete("I IS NULL") == 0 and table.versions() == [0, 1, 2]
+    late, other = table.version(), FeatureTable(spark, table.path)
+    assert other.insert(fixtures.modify_rows(spark, 2)) == 2
+    table._commit(late, ["d-x/added.parquet"])  # a second writer from the same version takes the next number
+    assert table.versions()[-1] == 4 and len(table.version().files) == len(late.files) + len(other.version(3).files) - len(late.files) + 1
+    with pytest.raises(ConflictError):
+        table._commit(late, [], frozenset(files))
+    assert table.vacuum() == 0 and len(table.versions()) == 5
+
+
+def test_vacuum(spark, tmp_path):
+    table = FeatureTable.create(spark, f"file://{tmp_path}/m", fixtures.MODIFY, fixtures.modify_rows(spark, 20).coalesce(1))
+    assert table.update({"S": "'new'"}, "I = 3") == 1 and table.insert(fixtures.modify_rows(spark, 5)) == 5
+    want = sorted(map(str, table.read().collect()))
+    assert table.vacuum(-1.0) >= 1 and table.versions() == [2] and sorted(map(str, table.read().collect())) == want
+
+
+def test_plain_names_after_use(spark, tmp_path):
+    FeatureTable.create(spark, f"file://{tmp_path}/m", fixtures.MODIFY, fixtures.modify_rows(spark, 3))
+    e = connect({"used": str(tmp_path)}, spark)
+    e.use("used")
+    try:
+        assert e.sql("SELECT count(*) AS n FROM m").first()["n"] == 3 and e.sql("UPDATE m SET S = 'used.m' WHERE I = 0") == 1
+        assert e.sql("SELECT 'used.m' AS t, `used`.`m`.I FROM used.m WHERE S = 'used.m' AND `used`.`m`.I = 0").first()[:] == ("used.m", 0)
+    finally:
+        e.use("default")
+        spark.catalog.dropTempView("m")
+
+
 def test_types():
     s = types.schema("a:String,*g:Point,n:Integer")
     assert s.names == ["__FID__", "a", "g", "n"] and s["g"].metadata == {"geometry": "Point", "srid": 4326}

@@ -11,11 +11,12 @@ from quadrille.functions import similar_to, truncate, union_agg
 from quadrille.geometry import jts
 from quadrille.geometry.native import Box, Point, Wkb, as_wkb, exact
 from quadrille.operators.prefilter import spatial_filter
-from quadrille.operators.spatial_join import nested_loop, spatial_join
+from quadrille.operators.spatial_join import spatial_join
 from quadrille.queries.spatial import PT, points
 from quadrille.sources import readers
 from quadrille.streaming import sessions, windowed_counts
 from tests import fixtures
+from tests.fixtures import nested_loop
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -148,8 +149,22 @@ def test_delimited_skips_bad_records(spark, tmp_path):
 
 def test_union_aggregate(spark):
     df = spark.range(40).selectExpr("id % 2 AS k", "ST_MakeEnvelope(CAST(id AS DOUBLE), 0D, CAST(id AS DOUBLE) + 1, 1D) AS g")
-    got = union_agg(df, ["k"], "g", spread=3).select("k", F.call_function("ST_Area", "geom").alias("a")).collect()
-    assert sorted(tuple(r) for r in got) == [(0, 20.0), (1, 20.0)]
+    for fan in (2, 3, 100):
+        got = union_agg(df, ["k"], "g", fan=fan).select("k", F.call_function("ST_Area", "geom").alias("a")).collect()
+        assert sorted(tuple(r) for r in got) == [(0, 20.0), (1, 20.0)]
+    same = spark.range(2000).selectExpr("1 AS k", "if(id % 7 = 0, NULL, ST_MakePoint(1D, 2D)) AS g").unionAll(spark.sql("SELECT 2, CAST(NULL AS BINARY)"))
+    assert sorted(tuple(r) for r in union_agg(same, ["k"], "g").selectExpr("k", "ST_AsText(geom) AS t").collect())[0] == (1, "POINT (1 2)")
+    assert union_agg(same.limit(0), ["k"], "g").count() == 0
+
+
+def test_outer_joins_number_rows_once(spark):
+    """With a key the sides are read as they are; without one a side is numbered in a table, however often it is used."""
+    a, b = shapes(spark, 60, 1, "a").repartition(5), shapes(spark, 40, 2, "b")
+    boxes = Box("ax0", "ay0", "ax1", "ay1"), Box("bx0", "by0", "bx1", "by1")
+    keyed = spatial_join(a, b, "intersects", *boxes, "full", left_key="aid", right_key="bid")
+    free = spatial_join(a, b, "intersects", *boxes, "full")
+    assert sorted(map(str, keyed.collect())) == sorted(map(str, free.collect())) == sorted(map(str, nested_loop(a, b, "intersects", *boxes, "full").collect()))
+    assert all("monotonically_increasing_id" not in x._jdf.queryExecution().executedPlan().toString() for x in (keyed, free))
 
 
 def test_scalar_helpers(spark):
