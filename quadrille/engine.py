@@ -179,6 +179,8 @@ class Engine:
             jts.register(self.spark)
         if change := CHANGE.match(text):
             return self._change(re.sub(r"\s+", " ", change[1].upper()), change[2], change[3].strip())
+        if args and SPATIAL.search(text) and (bound := spatial_sql.bind(text, args)) is not None:
+            text, args = bound, None
         text = demote(text, self._floats(text))
         text = self._renamed(spatial_sql.prune(self.spark, text, self._feature))
         if args is None and (joined := spatial_sql.rewrite(self.spark, text)) is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quadrille.engine import Engine
 from quadrille.functions import union_agg
 from quadrille.geometry import jts
 from quadrille.geometry.native import Box, Point, Wkb, inside
@@ -138,7 +139,70 @@ def sp_union_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area covered by the boxes of each nation, from their union."""
     jts.register(spark)
     g = boxes(spark, sf_dir).withColumn("box", F.call_function("ST_MakeEnvelope", "x0", "y0", "x1", "y1"))
-    return union_agg(g, ["s_nationkey"], "box").select("s_nationkey", F.round(F.call_function("ST_XMin", "geom"), 6).alias("xmin"), F.round(F.call_function("ST_YMax", "geom"), 6).alias("ymax"))
+    return union_agg(g, ["s_nationkey"], "box").select("s_nationkey", F.round(F.call_function("ST_Area", "geom"), 4).alias("area"), F.call_function("ST_XMin", "geom").alias("xmin"), F.call_function("ST_YMax", "geom").alias("ymax"))
+
+
+def sp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of lines and points: the diagonal of each box, once more with its middle, and its corners."""
+    jts.register(spark)
+    boxes(spark, sf_dir).createOrReplaceTempView("supplier_box")
+    return spark.sql("""
+        SELECT s_suppkey, ST_X(ST_StartPoint(l)) AS sx, ST_Y(ST_EndPoint(l)) AS ey, ST_X(ST_PointN(l, 2)) AS nx, ST_X(ST_StartPoint(ST_Reverse(l))) AS rx,
+               ST_NPoints(ST_Densify(l, 1D)) AS dense, ST_NPoints(ST_Simplify(m, 0.1D)) AS simple, ST_NPoints(ST_SimplifyPreserveTopology(m, 0.1D)) AS kept,
+               round(ST_X(ST_Rotate(p, pi())), 6) AS rot, ST_X(ST_ClosestPoint(l, ST_MakePoint(x0 - 1, y0 - 1))) AS close, ST_HausdorffDistance(p, q) AS haus,
+               ST_IsClosed(l) AS closed, ST_IsSimple(m) AS plain, ST_Relate(p, p) AS relate, ST_RelateTo(p, q, 'FF*******') AS apart, ST_NumPoints(m) AS points,
+               ST_OrderingEquals(l, ST_Reverse(l)) AS ordered, ST_Equals(l, ST_Reverse(l)) AS same, ST_NumGeometries(ST_GeomFromText('MULTIPOINT(0 0, 2 2)')) AS parts,
+               ST_X(ST_GeometryN(ST_GeomFromText('MULTIPOINT(0 0, 2 2)'), 2)) AS part, ST_Crosses(l, ST_MakeLine(ST_MakePoint(x0, y1), ST_MakePoint(x1, y0))) AS crosses
+        FROM (SELECT *, ST_MakePoint(x0, y0) AS p, ST_MakePoint(x0, y0 + 3) AS q, ST_MakeLine(ST_MakePoint(x0, y0), ST_MakePoint(x1, y1)) AS l,
+                     ST_GeomFromText(format_string('LINESTRING(%s %s, %s %s, %s %s)', x0, y0, x0 + 2.5D, y0 + 2.5D, x1, y1)) AS m FROM supplier_box)""")
+
+
+def sp_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of areas: each box, and the box with a hole of side 1 in its middle."""
+    jts.register(spark)
+    boxes(spark, sf_dir).createOrReplaceTempView("supplier_box")
+    return spark.sql("""
+        SELECT s_suppkey, round(ST_Area(ST_Buffer(g, 1D)), 6) AS buffer, round(ST_Area(ST_Buffer(c, 2D)), 6) AS round, round(ST_Length(ST_ShortestLine(g, ST_MakePoint(x0 - 3, y0 - 4))), 6) AS short,
+               round(ST_MaxDistance(ST_MakePoint(x0, y0), g), 6) AS far, round(ST_Area(ST_MakePolygon(ST_ExteriorRing(d))), 6) AS filled, ST_IsRing(ST_ExteriorRing(d)) AS ring,
+               ST_NumInteriorRings(d) AS rings, round(ST_Area(ST_MakePolygon(ST_InteriorRingN(d, 1))), 6) AS hole, round(ST_Area(ST_RemoveHoles(d)), 6) AS whole, round(ST_Length(ST_Holes(d)), 6) AS holes,
+               round(ST_Area(ST_GeometryN(d, 1)), 6) AS first, ST_Equals(ST_Normalize(d), d) AS normal, round(ST_Area(ST_Delaunay(g)), 6) AS triangles, ST_NumGeometries(ST_Delaunay(g)) AS n_triangles,
+               size(ST_MakeGridPoints(g, 2.5D, 2.5D)) AS grid, ST_ContainsProperly(g, c) AS proper, ST_ContainsProperly(g, ST_MakePoint(x0, y0)) AS corner, ST_CoveredBy(ST_MakePoint(x0, y0), g) AS covered,
+               ST_Contains(d, ST_PointOnSurface(d)) AS on_surface, round(ST_Area(ST_UnaryUnion(d)), 6) AS unary, round(ST_Length(ST_Boundary(d)), 6) AS boundary, ST_GeometryTypeCode(g) AS code,
+               ST_AsText(ST_GeomFromWKB(ST_AsWKB(ST_MakePoint(1D, 2D)))) AS text
+        FROM (SELECT *, ST_Difference(g, ST_MakeEnvelope(x0 + 2, y0 + 2, x0 + 3, y0 + 3)) AS d FROM
+             (SELECT *, ST_MakeEnvelope(x0, y0, x1, y1) AS g, ST_MakePoint(x0 + 2.5D, y0 + 2.5D) AS c FROM supplier_box))""")
+
+
+def _sql_join(text: str):
+    """A join of customers and suppliers by SQL text: c has a point, a line of 5 to the right and a box of 5; s a point, a
+    line of 5 upwards and its box."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        jts.register(spark)
+        make = F.call_function
+        c = _customers(spark, sf_dir).select("c_custkey", make("ST_MakePoint", "x", "y").alias("cp"), make("ST_MakeLine", make("ST_MakePoint", "x", "y"), make("ST_MakePoint", F.col("x") + 5, "y")).alias("cl"), make("ST_MakeEnvelope", "x", "y", F.col("x") + 5, F.col("y") + 5).alias("cb"))
+        s = boxes(spark, sf_dir).select("s_suppkey", make("ST_MakePoint", "x0", "y0").alias("sp"), make("ST_MakeLine", make("ST_MakePoint", "x0", "y0"), make("ST_MakePoint", "x0", "y1")).alias("sl"), make("ST_MakeEnvelope", "x0", "y0", "x1", "y1").alias("sb"))
+        c.createOrReplaceTempView("customer_geo")
+        s.createOrReplaceTempView("supplier_geo")
+        spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+        points(spark, sf_dir, "events", "event_id").select("event_id", make("ST_MakePoint", "x", "y").alias("ep")).createOrReplaceTempView("event_geo")
+        return Engine(spark).sql(text)
+
+    return run
+
+
+SQL_JOINS = {
+    "sp_sql_join_crosses": "SELECT c_custkey, s_suppkey FROM customer_geo c JOIN supplier_geo s ON ST_Crosses(c.cl, s.sl)",
+    "sp_sql_join_touches": "SELECT c_custkey, s_suppkey FROM customer_geo c JOIN supplier_geo s ON ST_Touches(c.cb, s.sb)",
+    "sp_sql_join_overlaps": "SELECT c_custkey, s_suppkey FROM customer_geo c JOIN supplier_geo s ON ST_Overlaps(c.cb, s.sb)",
+    "sp_sql_join_equals": "SELECT c_custkey, event_id FROM customer_geo c JOIN event_geo e ON ST_Equals(c.cp, e.ep)",
+    "sp_sql_join_buffer": "SELECT c_custkey, s_suppkey FROM customer_geo c JOIN supplier_geo s ON ST_Contains(ST_Buffer(c.cp, 2.05D), s.sp)",
+    "sp_sql_join_cte": "WITH c AS (SELECT * FROM customer_geo WHERE c_custkey % 3 <> 0), s AS (SELECT s_suppkey, sb FROM supplier_geo) SELECT s_suppkey, count(*) AS n FROM c, s WHERE ST_Within(c.cp, s.sb) GROUP BY s_suppkey",
+    "sp_sql_join_three": "SELECT c.c_custkey, s.s_suppkey, r.c_name FROM customer_geo c JOIN supplier_geo s ON ST_Within(c.cp, s.sb) JOIN customer r ON r.c_custkey = c.c_custkey",
+    "sp_sql_join_derived": "SELECT x.k, count(*) AS n FROM (SELECT s.s_suppkey AS k FROM event_geo e JOIN supplier_geo s ON ST_Within(e.ep, s.sb)) x GROUP BY x.k",
+}
+MEET = "b.x0 <= x + 5 AND x <= b.x1 AND b.y0 <= y + 5 AND y <= b.y1"
+INNER = "b.x0 < x + 5 AND x < b.x1 AND b.y0 < y + 5 AND y < b.y1"
 
 
 def sp_join_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +224,7 @@ def sp_stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sp_both_sides_operand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A predicate whose operand spans both sides is no grid join: Spark's nested loop answers it."""
-    jts.register(spark)
-    a = _customers(spark, sf_dir).where("c_custkey < 40").select("c_custkey", F.call_function("ST_MakePoint", "x", "y").alias("p"))
-    b = boxes(spark, sf_dir).where("s_suppkey < 20").select("s_suppkey", F.call_function("ST_MakeEnvelope", "x0", "y0", "x1", "y1").alias("g"))
-    return a.join(b, F.expr("ST_Area(ST_Envelope(ST_Union(p, g))) < 4000")).select("c_custkey", "s_suppkey")
-
-
-def sp_both_sides_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all pairs. Areas are multiples of 0.01, so none is so near the bound that rounding decides."""
+    """A predicate whose operand spans both sides is no grid join: Spark's nested loop answers it. Areas are multiples of 0.01, so none is so near the bound that rounding decides."""
     jts.register(spark)
     a = _customers(spark, sf_dir).select("c_custkey", F.call_function("ST_MakePoint", "x", "y").alias("p"))
     b = boxes(spark, sf_dir).select("s_suppkey", F.call_function("ST_MakeEnvelope", "x0", "y0", "x1", "y1").alias("g"))
@@ -187,6 +243,9 @@ QUERIES = {
     "sp_operations": sp_operations,
     "sp_text_round_trip": sp_text_round_trip,
     "sp_union_agg": sp_union_agg,
+    "sp_lines": sp_lines,
+    "sp_shapes": sp_shapes,
+    **{name: _sql_join(text) for name, text in SQL_JOINS.items()},
     "sp_join_contains": _join("within", "inner"),
     "sp_join_contains_wkb": _join("within", "inner", wkb=True),
     "sp_join_intersects": _join("intersects", "inner"),
@@ -201,7 +260,6 @@ QUERIES = {
     "sp_join_events": sp_join_events,
     "sp_stream_static": sp_stream_static,
     "sp_both_sides_operand": sp_both_sides_operand,
-    "sp_both_sides_whole": sp_both_sides_whole,
 }
 
 ORACLES = {
@@ -224,7 +282,29 @@ ORACLES = {
                round(sqrt(CAST(50 AS DOUBLE)), 6) AS diag, round(y0, 6) AS flip
         FROM b""",
     "sp_text_round_trip": CTE + "SELECT c_custkey, x, y, x AS ex, y AS wy, x AS gx FROM pt",
-    "sp_union_agg": CTE + "SELECT s_nationkey, round(min(x0), 6) AS xmin, round(max(y1), 6) AS ymax FROM b GROUP BY s_nationkey",
+    # Boxes begin at multiples of 0.1 and have sides of 5, so a union consists of whole squares of 0.1.
+    "sp_union_agg": CTE + """
+        SELECT s_nationkey, round(CAST(count(*) AS DOUBLE) / 100, 4) AS area, any_value(xmin) AS xmin, any_value(ymax) AS ymax FROM (
+            SELECT DISTINCT s_nationkey, cx, cy, min(x0) OVER n AS xmin, max(y1) OVER n AS ymax
+            FROM (SELECT *, unnest(range(CAST(round(x0 * 10) AS BIGINT), CAST(round(x0 * 10) AS BIGINT) + 50)) AS cx FROM b), range(50) AS r(k), LATERAL (SELECT CAST(round(y0 * 10) AS BIGINT) + k AS cy)
+            WINDOW n AS (PARTITION BY s_nationkey)) GROUP BY s_nationkey""",
+    "sp_lines": CTE + """
+        SELECT s_suppkey, x0 AS sx, y1 AS ey, x1 AS nx, x1 AS rx, 9 AS dense, 2 AS simple, 2 AS kept, round(-x0, 6) AS rot, x0 AS close, (y0 + 3) - y0 AS haus, false AS closed, true AS plain,
+               '0FFFFFFF2' AS relate, true AS apart, 3 AS points, false AS ordered, true AS same, 2 AS parts, CAST(2 AS DOUBLE) AS part, true AS crosses FROM b""",
+    "sp_shapes": CTE + """
+        SELECT s_suppkey, round(45 + 16 * sin(pi() / 16), 6) AS buffer, round(64 * sin(pi() / 16), 6) AS round, CAST(5 AS DOUBLE) AS short, round(sqrt(CAST(50 AS DOUBLE)), 6) AS far,
+               CAST(25 AS DOUBLE) AS filled, true AS ring, 1 AS rings, CAST(1 AS DOUBLE) AS hole, CAST(25 AS DOUBLE) AS whole, CAST(4 AS DOUBLE) AS holes, CAST(24 AS DOUBLE) AS first,
+               true AS normal, CAST(25 AS DOUBLE) AS triangles, 2 AS n_triangles, 4 AS grid, true AS proper, false AS corner, true AS covered, true AS on_surface,
+               CAST(24 AS DOUBLE) AS unary, CAST(24 AS DOUBLE) AS boundary, 3 AS code, 'POINT (1 2)' AS text FROM b""",
+    "sp_sql_join_crosses": CTE + PAIR.format("", "pt.x < b.x0 AND b.x0 < pt.x + 5 AND b.y0 < pt.y AND pt.y < b.y1"),
+    "sp_sql_join_touches": CTE + PAIR.format("", f"{MEET} AND NOT ({INNER})"),
+    "sp_sql_join_overlaps": CTE + PAIR.format("", f"{INNER} AND NOT (x = x0 AND y = y0)"),
+    "sp_sql_join_equals": EVENTS + "SELECT c_custkey, event_id FROM pt JOIN e ON pt.x = e.x AND pt.y = e.y",
+    # A buffer of a point is a polygon of 32 sides.
+    "sp_sql_join_buffer": CTE + PAIR.format("", "abs(x0 - x) <= 2.05 AND abs(y0 - y) <= 2.05 AND list_max(list_transform(range(32), lambda k: (x0 - x) * cos((k + 0.5) * pi() / 16) + (y0 - y) * sin((k + 0.5) * pi() / 16))) < 2.05 * cos(pi() / 32)"),
+    "sp_sql_join_cte": CTE + f"SELECT s_suppkey, count(*) AS n FROM pt JOIN b ON {INSIDE} WHERE c_custkey % 3 <> 0 GROUP BY s_suppkey",
+    "sp_sql_join_three": CTE + f"SELECT c_custkey, s_suppkey, c_name FROM pt JOIN b ON {INSIDE}",
+    "sp_sql_join_derived": EVENTS + "SELECT s_suppkey AS k, count(*) AS n FROM e JOIN b ON b.x0 < e.x AND e.x < b.x1 AND b.y0 < e.y AND e.y < b.y1 GROUP BY s_suppkey",
     "sp_join_contains": CTE + PAIR.format("", INSIDE),
     "sp_join_contains_wkb": CTE + PAIR.format("", INSIDE),
     "sp_join_intersects": CTE + PAIR.format("", TOUCH),
@@ -238,6 +318,5 @@ ORACLES = {
     "sp_join_boxes": CTE + "SELECT p.s_suppkey AS a, q.s_suppkey AS b FROM b p JOIN b q ON p.s_suppkey < q.s_suppkey AND p.x0 - 20 <= q.x1 + 20 AND q.x0 - 20 <= p.x1 + 20 AND p.y0 - 20 <= q.y1 + 20 AND q.y0 - 20 <= p.y1 + 20",
     "sp_join_events": EVENTS + "SELECT s_suppkey, count(*) AS n FROM e JOIN b ON b.x0 < e.x AND e.x < b.x1 AND b.y0 < e.y AND e.y < b.y1 GROUP BY s_suppkey",
     "sp_stream_static": EVENTS + "SELECT event_id, s_suppkey FROM e JOIN b ON b.x0 < e.x AND e.x < b.x1 AND b.y0 < e.y AND e.y < b.y1",
-    "sp_both_sides_operand": CTE + "SELECT c_custkey, s_suppkey FROM pt JOIN b ON c_custkey < 40 AND s_suppkey < 20 AND (greatest(x, x1) - least(x, x0)) * (greatest(y, y1) - least(y, y0)) < 4000",
-    "sp_both_sides_whole": CTE + "SELECT c_custkey, s_suppkey FROM pt JOIN b ON (greatest(x, x1) - least(x, x0)) * (greatest(y, y1) - least(y, y0)) < CAST(4000.005 AS DOUBLE)",
+    "sp_both_sides_operand": CTE + "SELECT c_custkey, s_suppkey FROM pt JOIN b ON (greatest(x, x1) - least(x, x0)) * (greatest(y, y1) - least(y, y0)) < CAST(4000.005 AS DOUBLE)",
 }

@@ -40,8 +40,8 @@ def test_query(spark, sf, con, name):
 def test_whole_tables(spark, sf):
     """No key range is left out, and NULLs come first with all others in order behind them."""
     rows = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("customer", "part")}
-    pairs = QUERIES["sp_both_sides_whole"](spark, sf).toPandas()
-    assert pairs.c_custkey.max() >= 40 and QUERIES["dml_insert_whole"](spark, sf).count() == 2 * rows["customer"]
-    assert QUERIES["join_computed_key_whole"](spark, sf).toPandas().a.max() >= min(200, rows["part"] - 50)
-    got = [(r["n"], r["c_custkey"]) for r in QUERIES["sort_nulls_whole"](spark, sf).collect()]
+    pairs = QUERIES["sp_both_sides_operand"](spark, sf).toPandas()
+    assert pairs.c_custkey.max() >= 40 and QUERIES["dml_insert"](spark, sf).count() == 2 * rows["customer"] + 2
+    assert QUERIES["join_computed_key"](spark, sf).toPandas().a.max() >= min(200, rows["part"] - 50)
+    got = [(r["n"], r["c_custkey"]) for r in QUERIES["sort_nulls"](spark, sf).collect()]
     assert len(got) == rows["customer"] and got == sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

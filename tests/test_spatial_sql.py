@@ -25,6 +25,11 @@ GRID = [
     "SELECT b.I, count(*) AS n FROM geo a, simple b WHERE ST_Intersects(ST_Buffer(a.pt, 0.5D), b.line2) AND a.I <> 4 GROUP BY b.I HAVING count(*) > 1 ORDER BY b.I LIMIT 5",
     "SELECT x.__FID__ FROM (SELECT * FROM geo WHERE I > 3) x JOIN simple ON ST_Touches(simple.poly2, x.line) OR FALSE",
     "SELECT * FROM (SELECT __FID__, pt FROM geo) a JOIN (SELECT fid2, poly2 FROM simple) b ON ST_Intersects(a.pt, b.poly2)",
+    "WITH a AS (SELECT * FROM geo WHERE I > 3), b AS (SELECT * FROM simple) SELECT a.__FID__, b.fid2 FROM a, b WHERE ST_Within(a.pt, b.poly2)",
+    "WITH a AS (SELECT x.I AS k, y.fid2 AS g FROM geo x JOIN simple y ON ST_Contains(y.poly2, x.pt)) SELECT k, count(*) AS n FROM a AS z WHERE k > 2 GROUP BY k",
+    "SELECT q.g, count(*) AS n FROM (SELECT y.fid2 AS g FROM geo x JOIN simple y ON ST_Contains(y.poly2, x.pt) WHERE x.I < 9) q GROUP BY q.g",
+    "SELECT a.__FID__, b.fid2, c.two FROM geo a JOIN simple b ON ST_Contains(b.poly2, a.pt) LEFT JOIN (SELECT fid2 AS f, I * 2 AS two FROM simple WHERE I > 4) c ON c.f = b.fid2 WHERE a.I > 1",
+    "SELECT a.__FID__, b.fid2, c.fid3 FROM geo a JOIN simple b ON ST_Contains(b.poly2, a.pt) JOIN (SELECT fid2 AS fid3, poly2 AS poly3 FROM simple) c ON ST_Within(a.pt, c.poly3)",
 ]
 
 
@@ -36,6 +41,19 @@ def test_rows_equal_the_nested_loop(engine, text):
     assert ("NestedLoop" in plan or "Cartesian" in plan) == ("OR FALSE" in text)
 
 
+@pytest.mark.parametrize(
+    ("text", "args"),
+    [
+        ("SELECT a.__FID__, b.fid2 FROM geo a JOIN simple b ON ST_DWithin(a.pt, b.pt2, ?) WHERE b.fid2 <> ? AND a.I < ?", [1.1, "it's #3\\", 15]),
+        ("SELECT a.__FID__, b.fid2 FROM geo a JOIN simple b ON ST_Contains(b.poly2, a.pt) AND a.I > :least", {"least": 4}),
+    ],
+)
+def test_parameters(engine, text, args):
+    got, want = engine.sql(text, args), engine.spark.sql(text, args)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     "text",
     [
