@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.shared import materialise, release, shared_dir
+from quadrille.shared import materialise, new_path, release, shared_dir
 
-__all__ = ["BITS", "bitmap", "bounded_sample", "filesystem", "fresh", "materialise", "member", "read_batches", "release", "shared_dir", "without"]
+__all__ = ["BITS", "bitmap", "bounded_sample", "filesystem", "fresh", "materialise", "member", "new_path", "read_batches", "release", "shared_dir", "without"]
 
 
 def filesystem(uri: str):
