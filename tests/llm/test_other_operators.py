@@ -16,7 +16,7 @@ import corpus_pipeline
 from quadrille.llm import chat_format, exact_dedup, packing, quality, secrets, vector_search, warc
 from quadrille.llm.registry import ORACLES, QUERIES, table
 from tests.llm.helpers import CLASHING, awkward, empty
-from tests.llm.test_text_operators import least_reachable, normal, plain_simhash, redacted
+from tests.llm.test_text_operators import least_similar, normal, redacted
 
 
 # -- vector search -------------------------------------------------------------------------------------------------
@@ -420,8 +420,8 @@ def test_pipeline_equals_brute_force(spark, sf):
         if normal(r["text"]) not in seen:
             seen.add(normal(r["text"]))
             unique.append(r)
-    least = least_reachable([r["doc_id"] for r in unique], [plain_simhash(r["text"]) for r in unique])
-    kept = {r["doc_id"]: redacted(r["text"]) for r, w in zip(unique, least, strict=True) if r["doc_id"] == w}
+    least = least_similar({r["doc_id"]: r["text"] for r in unique})
+    kept = {r["doc_id"]: redacted(r["text"]) for r in unique if r["doc_id"] == least[r["doc_id"]]}
     ids = defaultdict(list)
     for r in packing.segments(corpus_pipeline.run(spark, sf)).orderBy("segment").collect():
         ids[r["doc_id"]] += r["token_ids"]

@@ -324,6 +324,99 @@ def test_links_survive_refinement_of_hot_postings(spark, most):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def plain_wide(text):
+    """The wide fingerprint, bit by bit."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    m, mask = [int(x) for x in simhash._MULTIPLIERS], (1 << 64) - 1
+    hashes = []
+    for h in {xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams}:
+        out = b""
+        for i in range(8):
+            x = h * m[i] & mask
+            x = (x ^ x >> 29) * m[7 - i] & mask
+            out += (x ^ x >> 32).to_bytes(8, "little")
+        hashes.append(out)
+    bits = [2 * sum(h[b // 8] >> (7 - b % 8) & 1 for h in hashes) > len(hashes) for b in range(512)]
+    return sum(1 << b for b, on in enumerate(bits) if on)
+
+
+def least_similar(rows):
+    """Smallest id that links of wide fingerprints reach, by all pairs: doc_id -> least."""
+    prints = {i: plain_wide(t) for i, t in rows.items()}
+    parent = {i: i for i in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 512 * math.acos(1.6 / 1.8) / math.pi:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {i: root(i) for i in rows}
+
+
+def jaccard(a, b, size=5):
+    sets = []
+    for t in (a, b):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(len(sets[0] | sets[1]), 1)
+
+
+def test_similar_texts_are_found(spark):
+    """Copies of random texts with more and more words changed: alike ones meet, others and clean ones do not."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    rows, want = [], {}
+    for g in range(120):
+        text = [rng.choice(words) for _ in range(rng.randint(150, 500))]
+        copy = list(text)
+        for i in rng.sample(range(len(text)), g % 12 * len(text) // 180):
+            copy[i] = rng.choice(words)
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, "  ".join(copy).upper())]
+        want[g] = jaccard(" ".join(text), " ".join(copy))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = {g for g in want if got[2 * g + 1] == 2 * g}
+    assert all(got[2 * g + 1] in (2 * g, 2 * g + 1) and got[2 * g] == 2 * g for g in want)
+    assert {g for g, j in want.items() if j >= 0.88} <= joined and not {g for g in joined if want[g] < 0.68}
+    assert sum(want[g] > 0.85 for g in want) > 30 and sum(want[g] < 0.68 for g in want) > 10
+
+
+def test_similar_equals_brute_force(spark, sf):
+    """Recall of the index against all pairs of fingerprints, and of fingerprints against exact Jaccard."""
+    rows = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    fps = {i: simhash.wide_simhash(t) for i, t in rows.items()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table(spark, sf, "documents")).collect()}
+    assert set(got) == set(rows)
+    ids, links, alike = sorted(rows), 0, [0, 0]
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            d = int(np.bitwise_count(fps[a] ^ fps[b]).sum())
+            if d <= simhash.most_bits(0.8):
+                links += 1
+                alike[0] += got[a] == got[b]
+            if got[a] == got[b] == a:
+                assert jaccard(rows[a], rows[b]) >= 0.6 or got[b] != b
+    assert links > 5 and alike[0] / links >= 0.95
+
+
+@pytest.mark.parametrize("copies", [3, 400])
+def test_hot_groups_of_near_copies(spark, copies):
+    """Hundreds of texts that differ in one word each are one component, whatever else is there."""
+    rng = random.Random(copies)
+    text = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+    rows = [(i, " ".join([*text[: i % 200], f"new{i}", *text[i % 200 + 1 :]])) for i in range(copies)] + [(1000 + i, " ".join(f"v{rng.randint(0, 3000)}" for _ in range(90))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert all(c == (0 if i < 1000 else i) for i, c in got.items()) and simhash.dedup(df).count() == 51
+
+
 def test_planes_cover_all_triples():
     from itertools import combinations
 
