@@ -181,12 +181,25 @@ class Engine:
             return self._change(re.sub(r"\s+", " ", change[1].upper()), change[2], change[3].strip())
         if args and SPATIAL.search(text) and (bound := spatial_sql.bind(text, args)) is not None:
             text, args = bound, None
+        self._refuse(text)
         text = demote(text, self._floats(text))
         text = self._renamed(spatial_sql.prune(self.spark, text, self._feature))
         if args is None and (joined := spatial_sql.rewrite(self.spark, text)) is not None:
             return joined
         return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
 
+    def _refuse(self, text: str) -> None:
+        """MIN and MAX of a geometry column mean nothing: geometries have no order."""
+        tokens = Tokens.of(text)
+        at = tokens.solid()
+        words = [tokens[i][1] for i in at]
+        asked = {words[j + 2].split(".")[-1].strip("` ").lower() for j in range(len(words) - 3) if words[j].upper() in ("MIN", "MAX") and words[j + 1] == "(" and words[j + 3] == ")"}
+        named = {w.lower() for w in re.findall(r"\w+", text)}
+        for name, feature in self.features.items() if asked else ():
+            if name.split(".")[1] in named:
+                if bad := [f.name for f in feature.version().schema if "geometry" in f.metadata and f.name.lower() in asked]:
+                    raise TypeError(f"MIN and MAX do not apply to geometry {bad[0]}")
+
     def _floats(self, text: str) -> set[str]:
         """Columns that are FLOAT, and nothing else, in the tables the text names."""
         words = {w.lower() for w in re.findall(r"\w+", text)}

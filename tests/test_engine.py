@@ -98,6 +98,13 @@ def test_refused_changes(store):
         store.sql("DELETE FROM nothing")
 
 
+@pytest.mark.parametrize("text", ["SELECT min(geom) FROM m", "SELECT I, MAX( m.geom ) AS g FROM m GROUP BY I"])
+def test_geometries_have_no_order(store, text):
+    with pytest.raises(TypeError):
+        store.sql(text)
+    assert store.sql("SELECT max(I) AS i, 'min(geom)' AS t FROM m").first()[:] == (9, "min(geom)")
+
+
 def test_failed_update_changes_nothing(store):
     before = store.table("m").count()
     with pytest.raises(Exception, match="(?i)divi"):
