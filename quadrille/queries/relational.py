@@ -130,8 +130,8 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "values_rows": ("SELECT * FROM (VALUES (1, 'a', TIMESTAMP '2022-05-01 12:10:23'), (2, NULL, NULL)) AS t(i, s, ts)", None),
     "subquery_scalar": ("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)", None),
     "subquery_correlated": ("SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
-    "subquery_all": ("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = 3)", "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)"),
-    "subquery_any": ("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT min(s_acctbal) FROM supplier)", "SELECT c_custkey FROM customer WHERE c_acctbal > ANY (SELECT s_acctbal FROM supplier)"),
+    "subquery_all": ("SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)", None),
+    "subquery_any": ("SELECT c_custkey FROM customer WHERE c_acctbal > ANY (SELECT s_acctbal FROM supplier)", None),
     # windows
     "window_ranks": ("SELECT c_custkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS rk, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dr, ntile(4) OVER w AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)", None),
     "window_offsets": ("SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice, 2, 0.0D) OVER w AS nxt, first_value(o_orderkey) OVER w AS f, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", "SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice, 2, 0.0) OVER w AS nxt, first_value(o_orderkey) OVER w AS f, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
@@ -139,7 +139,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "window_rows_frame": ("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders", None),
     "window_range_frame": ("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM part", None),
     "window_relative": ("SELECT c_custkey, percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS pr, cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS cd FROM customer", None),
-    "window_qualify": ("SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) x WHERE rn <= 2", None),
+    "window_qualify": ("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer QUALIFY rn <= 2", None),
     "window_tumble": ("SELECT w.start AS window_start, event_type, n FROM (SELECT window(ts, '1 hour') AS w, event_type, count(*) AS n FROM events GROUP BY window(ts, '1 hour'), event_type) x", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "window_hop": ("SELECT w.start AS window_start, count(*) AS n FROM (SELECT window(ts, '2 hours', '1 hour') AS w FROM events) x GROUP BY w.start", "SELECT s AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY s"),
     "window_session": (
@@ -149,7 +149,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     # scalar functions
     "fn_math": ("SELECT c_custkey, abs(c_acctbal) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, sign(c_acctbal) AS s, round(sqrt(abs(c_acctbal)), 6) AS q, round(cbrt(c_acctbal), 6) AS cb, round(power(c_custkey, 2), 2) AS p, round(ln(c_custkey + 1), 8) AS l, round(log10(c_custkey + 1), 8) AS l10, round(exp(c_nationkey / 10.0D), 6) AS e, mod(c_custkey, 7) AS m FROM customer", "SELECT c_custkey, abs(c_acctbal) AS a, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(sign(c_acctbal) AS DOUBLE) AS s, round(sqrt(abs(c_acctbal)), 6) AS q, round(cbrt(c_acctbal), 6) AS cb, round(power(c_custkey, 2), 2) AS p, round(ln(c_custkey + 1), 8) AS l, round(log10(c_custkey + 1), 8) AS l10, round(exp(c_nationkey / CAST(10 AS DOUBLE)), 6) AS e, mod(c_custkey, 7) AS m FROM customer"),
     "fn_trigonometry": ("SELECT c_custkey, round(sin(c_custkey), 8) AS s, round(cos(c_custkey), 8) AS c, round(tan(c_nationkey), 6) AS t, round(cot(c_nationkey + 1), 6) AS ct, round(asin(c_nationkey / 25.0D), 8) AS a1, round(acos(c_nationkey / 25.0D), 8) AS a2, round(atan(c_custkey), 8) AS a3, round(atan2(c_custkey, 3), 8) AS a4, round(degrees(c_nationkey), 6) AS d, round(radians(c_nationkey), 8) AS r, round(pi(), 8) AS p FROM customer", "SELECT c_custkey, round(sin(c_custkey), 8) AS s, round(cos(c_custkey), 8) AS c, round(tan(c_nationkey), 6) AS t, round(cot(c_nationkey + 1), 6) AS ct, round(asin(c_nationkey / CAST(25 AS DOUBLE)), 8) AS a1, round(acos(c_nationkey / CAST(25 AS DOUBLE)), 8) AS a2, round(atan(c_custkey), 8) AS a3, round(atan2(c_custkey, 3), 8) AS a4, round(degrees(c_nationkey), 6) AS d, round(radians(c_nationkey), 8) AS r, round(pi(), 8) AS p FROM customer"),
-    "fn_truncate": ("SELECT c_custkey, CAST(CASE WHEN c_acctbal < 0 THEN ceil(c_acctbal) ELSE floor(c_acctbal) END AS BIGINT) AS t FROM customer", "SELECT c_custkey, CAST(trunc(c_acctbal) AS BIGINT) AS t FROM customer"),
+    "fn_truncate": ("SELECT c_custkey, CAST(TRUNCATE(c_acctbal) AS BIGINT) AS t FROM customer", "SELECT c_custkey, CAST(trunc(c_acctbal) AS BIGINT) AS t FROM customer"),
     "fn_string": ("SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, initcap(lower(c_mktsegment)) AS i, trim(concat('  ', c_name, ' ')) AS t, substring(c_name, 2, 5) AS s, replace(c_name, '0', 'o') AS r, char_length(c_name) AS n, position('#' IN c_name) AS p, c_name || '-' || c_mktsegment AS j FROM customer", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS i, trim(concat('  ', c_name, ' ')) AS t, substring(c_name, 2, 5) AS s, replace(c_name, '0', 'o') AS r, length(c_name) AS n, position('#' IN c_name) AS p, c_name || '-' || c_mktsegment AS j FROM customer"),
     "fn_trim_overlay": ("SELECT n_nationkey, ltrim(concat('  ', n_name)) AS l, rtrim(concat(n_name, '  ')) AS r, overlay(n_name PLACING 'XX' FROM 2 FOR 1) AS o FROM nation", "SELECT n_nationkey, ltrim(concat('  ', n_name)) AS l, rtrim(concat(n_name, '  ')) AS r, n_name[1] || 'XX' || n_name[3:] AS o FROM nation"),
     "fn_date": ("SELECT o_orderkey, extract(YEAR FROM o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h, date_trunc('MONTH', o_orderdate) AS mm, quarter(o_orderdate) AS q FROM orders", None),
@@ -159,7 +159,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "fn_cast_literals": ("SELECT CAST('12' AS INT) AS i, CAST(3.7 AS DOUBLE) AS d, CAST('2022-05-01 00:00:01' AS TIMESTAMP_NTZ) AS t, hex(X'00010203') AS b, CAST(NULL AS STRING) AS s", "SELECT 12 AS i, CAST(3.7 AS DOUBLE) AS d, TIMESTAMP '2022-05-01 00:00:01' AS t, '00010203' AS b, CAST(NULL AS VARCHAR) AS s"),
     "fn_collections": ("SELECT n_nationkey, size(array(n_nationkey, n_regionkey)) AS n, array(n_nationkey, n_regionkey)[1] AS second, map('a', n_regionkey)['a'] AS m, named_struct('x', n_name).x AS x FROM nation", "SELECT n_nationkey, 2 AS n, n_regionkey AS second, n_regionkey AS m, n_name AS x FROM nation"),
     "fn_unnest": ("SELECT n_nationkey, e FROM nation LATERAL VIEW explode(array(n_regionkey, n_nationkey)) t AS e", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS e FROM nation"),
-    "fn_json": ("SELECT event_id, props IS NOT NULL AS has, to_json(named_struct('id', event_id)) AS o, to_json(array(event_id, 1)) AS a, get_json_object(concat('{\"v\":', event_id, '}'), '$.v') AS v FROM events", "SELECT event_id, props IS NOT NULL AS has, '{\"id\":' || event_id || '}' AS o, '[' || event_id || ',1]' AS a, CAST(event_id AS VARCHAR) AS v FROM events"),
+    "fn_json": ("SELECT event_id, props IS NOT NULL AS has, to_json(named_struct('id', event_id)) AS o, to_json(array(event_id, 1)) AS a, JSON_VALUE(concat('{\"v\":', event_id, '}'), 'lax $.v') AS v FROM events", "SELECT event_id, props IS NOT NULL AS has, '{\"id\":' || event_id || '}' AS o, '[' || event_id || ',1]' AS a, CAST(event_id AS VARCHAR) AS v FROM events"),
     "fn_random": ("SELECT count(*) AS n FROM orders WHERE rand() BETWEEN 0 AND 1", "SELECT count(*) AS n FROM orders"),
     "sample_rows": ("SELECT count(*) <= (SELECT count(*) FROM orders) AS ok FROM orders TABLESAMPLE (50 PERCENT)", "SELECT true AS ok"),
 }

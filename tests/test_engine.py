@@ -55,6 +55,51 @@ def test_text_rewrites():
     assert split_top("a = f(1, 2), b = 'x,y', c = 3") == ["a = f(1, 2)", "b = 'x,y'", "c = 3"]
 
 
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [
+        ("TRUNCATE(2.59, 1)", 2.5), ("TRUNCATE(-2.59D, 1)", -2.5), ("TRUNCATE(-2.9D)", -2.0), ("TRUNCATE(1E20)", 1e20), ("TRUNCATE(TRUNCATE(2.59D, 1), 0) + 1", 3.0), ("TRUNCATE(CAST(NULL AS DOUBLE), 1)", None),
+        ("JSON_VALUE('{\"a\": {\"b\": 7}}', 'strict $.a.b')", "7"), ("JSON_QUERY('{\"a\": [1, 2]}', '$.a')", "[1,2]"), ("JSON_EXISTS('{\"a\": 1}', '$.b')", False), ("'TRUNCATE(2.5)'", "TRUNCATE(2.5)"),
+    ],
+)
+def test_functions_of_the_dialect(engine, expression, want):
+    got = engine.sql(f"SELECT {expression} AS x").first()[0]
+    assert got == want or float(got) == want
+
+
+SOME_ROWS = "(VALUES (1), (5), (NULL)) AS t(v)"
+
+
+@pytest.mark.parametrize(
+    ("condition", "want"),
+    [
+        (f"6 > ALL (SELECT v FROM {SOME_ROWS})", None), (f"4 > ALL (SELECT v FROM {SOME_ROWS})", False), (f"6 > ALL (SELECT v FROM {SOME_ROWS} WHERE v > 0)", True),
+        (f"6 > ALL (SELECT v FROM {SOME_ROWS} WHERE v > 9)", True), (f"0 <= ALL (SELECT v FROM {SOME_ROWS} WHERE v > 0)", True), (f"CAST(NULL AS INT) < ALL (SELECT v FROM {SOME_ROWS} WHERE v > 9)", True),
+        (f"CAST(NULL AS INT) < ALL (SELECT v FROM {SOME_ROWS} WHERE v > 0)", None), (f"1 = ALL (SELECT v FROM {SOME_ROWS} WHERE v < 5)", True), (f"1 = ALL (SELECT v FROM {SOME_ROWS})", False),
+        (f"2 > ANY (SELECT v FROM {SOME_ROWS})", True), (f"1 > SOME (SELECT v FROM {SOME_ROWS})", None), (f"1 > ANY (SELECT v FROM {SOME_ROWS} WHERE v > 0)", False), (f"1 > ANY (SELECT v FROM {SOME_ROWS} WHERE v > 9)", False),
+        (f"5 = ANY (SELECT v FROM {SOME_ROWS})", True), (f"1 <> ANY (SELECT v FROM {SOME_ROWS})", True), (f"1 <> ANY (SELECT v FROM {SOME_ROWS} WHERE v = 1)", False), (f"2 != ALL (SELECT v FROM {SOME_ROWS} WHERE v > 0)", True),
+        (f"(CASE WHEN true THEN 2 END) + 4 >= ALL (SELECT v + 1 FROM {SOME_ROWS} WHERE v > 0) AND NOT 1 >= ALL (SELECT v FROM {SOME_ROWS} WHERE v > 0)", True),
+    ],
+)
+def test_quantified_comparisons(engine, condition, want):
+    assert engine.sql(f"SELECT {condition} AS x").first()[0] is want
+
+
+def test_quantified_comparison_with_a_correlated_query(engine):
+    rows = engine.sql("SELECT i FROM test_data a WHERE i < 12 AND i >= ALL (SELECT b.i FROM test_data b WHERE b.i < 10 AND b.i % 3 = a.i % 3) ORDER BY i").collect()
+    assert [r[0] for r in rows] == [7, 8, 9, 10, 11]
+
+
+def test_qualify(engine):
+    rows = engine.sql("SELECT I, row_number() OVER (PARTITION BY B ORDER BY I DESC) AS n FROM test_data WHERE I < 10 QUALIFY n = 1 ORDER BY I").collect()
+    assert [r[:] for r in rows] == [(8, 1), (9, 1)]
+    one = engine.sql("SELECT I FROM (SELECT * FROM test_data QUALIFY rank() OVER (ORDER BY I) = 3) x UNION ALL SELECT -1")
+    assert sorted(r[0] for r in one.collect()) == [-1, 2]
+    text = "SELECT 'QUALIFY x', a FROM t GROUP BY a HAVING count(*) > 1 QUALIFY rank() OVER (ORDER BY a) < 3 LIMIT 2"
+    assert dialect(text).startswith("SELECT * EXCEPT (__qualify) FROM (SELECT 'QUALIFY x', a , (rank() OVER (ORDER BY a) < 3) AS __qualify FROM t GROUP BY a HAVING count(*) > 1") and dialect(text).endswith("WHERE __qualify LIMIT 2")
+    assert dialect("SELECT qualify FROM t") == "SELECT qualify FROM t"
+
+
 def test_parameters_and_explain(engine):
     assert engine.sql("SELECT count(*) FROM test_data WHERE I < ? AND S <> ?", args=[10, "str0003"]).first()[0] == 9
     assert "Filter" in engine.explain("SELECT I FROM test_data WHERE I = 3")
