@@ -1,11 +1,11 @@
-"""Command line: ``python -m quadrille -c DIR [-e SQL | -f FILE]``."""
+"""Command line: ``python -m quadrille (-c DIR [-p NAME=VALUE;...] | -m MODEL) [-e SQL | -f FILE]``."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from quadrille.engine import Engine, connect
+from quadrille.engine import Engine, connect, connect_model
 from quadrille.plans.literals import split_top
 
 
@@ -34,12 +34,17 @@ def run(engine: Engine, text: str, out=None) -> None:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quadrille")
     parser.add_argument("-c", "--catalog", action="append", default=[], metavar="[NAME=]DIR", help="folder of tables; repeat for several databases")
+    parser.add_argument("-p", "--parameters", default="", metavar="NAME=VALUE;...", help="schemaCacheExpireSeconds: how long listings are kept")
+    parser.add_argument("-m", "--model", help="model file of databases and tables, JSON or YAML")
     group = parser.add_mutually_exclusive_group()
     group.add_argument("-e", "--execute", metavar="SQL")
     group.add_argument("-f", "--file")
     args = parser.parse_args(argv)
+    if args.model and args.catalog:
+        parser.error("a model names its own catalogs")
     stores = dict(c.split("=", 1) if "=" in c else ("store", c) for c in args.catalog)
-    engine = connect(stores)
+    given = dict(p.strip().split("=", 1) for p in args.parameters.split(";") if p.strip())
+    engine = connect_model(args.model) if args.model else connect(stores, cache_seconds=float(given.get("schemaCacheExpireSeconds", 600)))
     if len(stores) == 1:
         engine.use(next(iter(stores)))
     if args.execute or args.file:

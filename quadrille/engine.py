@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import re
 import time
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
 from quadrille import compiled
@@ -104,12 +105,26 @@ class Engine:
             if name.lower() == self.current:
                 self.spark.table(f"__{name}_{table}").createOrReplaceTempView(table)
 
-    def register(self, name: str, source: str | DataFrame | FeatureTable) -> None:
-        """Bind one table without discovery: a DataFrame, a feature table, or the path of Parquet data or of one."""
+    def register(self, name: str, source: str | DataFrame | FeatureTable, options: Mapping[str, str] | None = None) -> None:
+        """Bind one table without discovery: a DataFrame, a feature table, or the path of Parquet data or of one.
+
+        Option ``tableType`` is ``translatable`` or ``scannable``: the latter is read whole and read only, as a yardstick
+        for the plans of the former. Others mean nothing here."""
+        kind = (options or {}).get("tableType", "translatable")
+        if kind not in ("translatable", "scannable"):
+            raise ValueError(f"tableType {kind} is neither translatable nor scannable")
         db, _, table = name.rpartition(".")
         if isinstance(source, str):
             feature = FeatureTable(self.spark, source)
             source = feature if feature.exists() else self.spark.read.parquet(source)
+        if kind == "scannable":  # conditions and aggregates do not pass a filter that is not deterministic
+            rows = source.read() if isinstance(source, FeatureTable) else source
+            rows.where(F.rand() >= 0).createOrReplaceTempView(f"__{db}_{table}" if db else table)
+            self._note(db or DEFAULT, table)
+            if db:
+                self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+                self.temporary.add((db, table))
+            return
         if db:
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
         if isinstance(source, FeatureTable):
@@ -283,3 +298,40 @@ def connect(stores: Mapping[str, str] | None = None, spark: SparkSession | None
     for name, path in (stores or {}).items():
         engine.attach(name, path)
     return engine
+
+
+def connect_model(path: str, spark: SparkSession | None = None) -> Engine:
+    """An engine as a model file (JSON, or YAML where PyYAML is installed) describes it.
+
+    ``schemas`` lists databases: ``name``, an ``operand`` with the ``path`` of a folder to attach and perhaps
+    ``schemaCacheExpireSeconds``, and ``tables``, each with a ``name`` and an ``operand`` of ``path`` and options.
+    Plain names mean the tables of ``defaultSchema``.
+    """
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if text.lstrip().startswith("{"):
+        model = json.loads(text)
+    else:
+        import yaml
+
+        model = yaml.safe_load(text)
+    engine = Engine(spark)
+    for schema in model.get("schemas", []):
+        operand = schema.get("operand", {})
+        engine.cache_seconds = float(operand.get("schemaCacheExpireSeconds", engine.cache_seconds))
+        if "path" in operand:
+            engine.attach(schema["name"], operand["path"])
+        for table in schema.get("tables", []):
+            given = table.get("operand", {})
+            if "path" not in given:
+                raise ValueError(f"table {table['name']} needs a path")
+            feature = FeatureTable(engine.spark, given["path"])
+            kind = given.get("tableType", "translatable")
+            if kind == "translatable" and not feature.exists():
+                engine.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema['name']}`")
+                engine._view(schema["name"], table["name"], f"SELECT * FROM parquet.`{given['path']}`")
+            else:
+                engine.register(f"{schema['name']}.{table['name']}", given["path"], given)
+    if "defaultSchema" in model:
+        engine.use(model["defaultSchema"])
+    return engine

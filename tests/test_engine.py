@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadrille import cli, types
-from quadrille.engine import Engine, connect
+from quadrille.engine import Engine, connect, connect_model
 from quadrille.operators.feature_table import ConflictError, FeatureTable
 from quadrille.plans.literals import demote, dialect, fold_casts, similar, split_top
 from tests import fixtures
@@ -225,6 +226,29 @@ def test_databases_and_shell(spark, sf, tmp_path):
         e.attach("none", f"{tmp_path}/none")
 
 
+def test_scannable_tables_and_models(spark, sf, tmp_path):
+    FeatureTable.create(spark, f"file://{tmp_path}/store/m", fixtures.MODIFY, fixtures.modify_rows(spark, 10))
+    model = {
+        "defaultSchema": "mo",
+        "schemas": [
+            {"name": "mo", "operand": {"path": f"file://{tmp_path}/store", "schemaCacheExpireSeconds": 5}},
+            {"name": "plain", "tables": [{"name": "p", "operand": {"path": f"{sf}/part.parquet", "tableType": "scannable"}}, {"name": "q", "operand": {"path": f"{sf}/part.parquet"}}]},
+        ],
+    }
+    (tmp_path / "model.json").write_text(json.dumps(model))
+    e = connect_model(str(tmp_path / "model.json"), spark)
+    assert e.cache_seconds == 5 and e.sql("SELECT count(*) FROM m").first()[0] == 10 and e.tables("plain") == ["p", "q"]
+    text = "SELECT p_brand, count(*) AS n FROM plain.{} WHERE p_size > 10 GROUP BY p_brand"
+    assert sorted(e.sql(text.format("p")).collect()) == sorted(e.sql(text.format("q")).collect())
+    assert "PushedFilters" not in e.explain(text.format("p")) and "GreaterThan(p_size,10)" in e.explain(text.format("q"))
+    with pytest.raises(ValueError, match="neither"):
+        e.register("x", f"{sf}/part.parquet", {"tableType": "other"})
+    e.register("fixed", f"file://{tmp_path}/store/m", {"tableType": "scannable"})
+    with pytest.raises(ValueError, match="not a feature table"):
+        e.sql("DELETE FROM fixed")
+    e.use("default")
+
+
 def test_schema_without_running(engine):
     assert engine.sql("SELECT I, F FROM test_data").dtypes == [("I", "int"), ("F", "float")]
 
