@@ -119,7 +119,7 @@ class Engine:
             source = feature if feature.exists() else self.spark.read.parquet(source)
         if kind == "scannable":  # conditions and aggregates do not pass a filter that is not deterministic
             rows = source.read() if isinstance(source, FeatureTable) else source
-            rows.where(F.rand() >= 0).createOrReplaceTempView(f"__{db}_{table}" if db else table)
+            rows.where(F.monotonically_increasing_id() >= 0).createOrReplaceTempView(f"__{db}_{table}" if db else table)
             self._note(db or DEFAULT, table)
             if db:
                 self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
