@@ -406,6 +406,21 @@ def test_similar_equals_brute_force(spark, sf):
     assert links > 5 and alike[0] / links >= 0.95
 
 
+def test_postings_of_wide_fingerprints():
+    """No two triples share two positions, every position is used alike, and most random pairs at 0.8 meet in one."""
+    pairs = [tuple(sorted(p)) for t in simhash.TRIPLES.tolist() for p in combinations(t, 2)]
+    assert len(set(pairs)) == len(pairs) == 3 * len(simhash.TRIPLES) and len(set(np.bincount(simhash.TRIPLES.ravel()))) == 1
+    rng, met = random.Random(8), 0
+    for _ in range(60):
+        text = [f"w{rng.randint(0, 10**7)}" for _ in range(400)]
+        copy = list(text)
+        for i in rng.sample(range(4, 400, 6), 9):  # nine words apart from each other: 45 of 396 shingles
+            copy[i] = "new" + copy[i]
+        same = simhash.wide_simhash(" ".join(text)) == simhash.wide_simhash(" ".join(copy))
+        met += bool(same[simhash.TRIPLES].all(axis=1).any())
+    assert met >= 42
+
+
 @pytest.mark.parametrize("copies", [3, 400])
 def test_hot_groups_of_near_copies(spark, copies):
     """Hundreds of texts that differ in one word each are one component, whatever else is there."""
