@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrille.llm import exact_dedup, graph, secrets, sentence_pieces as sp, simhash, token_counts as tc
@@ -433,6 +434,33 @@ def test_hot_groups_of_near_copies(spark, copies):
     assert all(c == (0 if i < 1000 else i) for i, c in got.items()) and simhash.dedup(df).count() == 51
 
 
+def test_similar_loses_no_link(spark):
+    """Pairs about the threshold, all with one common passage: exactly those that all pairs of fingerprints link."""
+    rng = random.Random(11)
+    passage, rows = [f"p{i}" for i in range(40)], {}
+    for g in range(90):
+        text = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        copy = list(text)
+        for i in rng.sample(range(4, 200, 6), rng.randint(3, 6)):
+            copy[i] += "x"
+        rows |= {2 * g: " ".join(passage + text), 2 * g + 1: " ".join(copy + passage)}
+    want = least_similar(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == want and 30 < sum(i != c for i, c in want.items()) < 90
+
+
+def test_links_across_components_of_a_posting():
+    """Postings that go over batches: a spanning forest of the links between components."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (3, 8), np.uint64)
+    fp = np.repeat(base, 20, axis=0)
+    fp[:, 0] ^= np.uint64(1) << rng.integers(0, 60, 60).astype(np.uint64)
+    key, part = np.repeat([4, 9], [40, 20]), np.arange(60) // 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 7]), pa.array(part[i : i + 7]), pa.array([f.tobytes() for f in fp[i : i + 7]], pa.binary())], names=["key", "component", "fp"]) for i in range(0, 60, 7)]
+    pairs = [p for b in simhash._across(77)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(pairs) == 27 and all(a // 10 == b // 10 for a, b in pairs)
+
+
 def test_planes_cover_all_triples():
     assert len(simhash.PLANES) == 14
     assert all(sum(set(t) <= set(p) for p in simhash.PLANES) == 1 for t in combinations(range(8), 3))
