@@ -7,7 +7,7 @@ taking one backslash away restores the text exactly.
 Every assistant turn becomes an example: all turns before it and its own header are context, and only its reply is
 under the loss mask. An example refers to its context by its length in the formatted conversation, of which it is a
 prefix; that keeps the output linear in the input, where written contexts grow with the square of a conversation.
-``with_text`` writes them out where that is wanted.
+``with_text`` writes them out where that is wanted, and ``digest`` reads its figures from written examples.
 """
 
 from __future__ import annotations
@@ -88,7 +88,12 @@ def with_text(formatted: DataFrame) -> DataFrame:
     """One row per example of ``conversations`` with column text: its whole context and the reply. The size is the sum
     of all prefixes, which for a conversation of n turns is about n / 4 times the conversation."""
     rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    return rows.select("conv_id", "e.*", F.substring("formatted", F.lit(1), F.col("e.loss_end").cast("int")).alias("text"))
+    return rows.select("conv_id", "e.*", _written(F.col("e.loss_end")).alias("text"))
+
+
+def _written(end: Column) -> Column:
+    """The text of an example: the conversation up to ``end``."""
+    return F.substring("formatted", F.lit(1), end.cast("int"))
 
 
 def _turn(part: Column) -> Column:
@@ -110,22 +115,35 @@ def read_turns(formatted: Column) -> Column:
 def digest(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Digests read back from the output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The text under an example's loss mask is cut from the turn that the mask lies in, so the cost grows with the
-    conversation's length only. A null role reads back as null and adds nothing to the digest but its line end.
+    Every example is written out with its whole context, as by ``with_text``, and so is the whole conversation, as one
+    more without a reply. The text under a loss mask is cut from its example, and each turn is read from the first
+    example that holds it. Written texts pass one at a time and are not shuffled; the work grows with their sum. A null
+    role reads back as null and adds nothing to the digest but its line end.
     """
-    done = _formatted(turns, conv, turn, role, text).select("conv", "formatted", "examples", _parts(F.col("formatted")).alias("parts"))
-
-    def reply(e: Column) -> Column:
-        at = (e["loss_start"] - e["turn_start"] + 1).cast("int")
-        return unescape(F.substring(F.get("parts", e["target_turn"]), at, (e["loss_end"] - e["loss_start"]).cast("int")))
-
+    done = _formatted(turns, conv, turn, role, text)
+    ends = F.transform("examples", lambda e: e["loss_end"])
+    #: new: where the turns begin that no example before holds.
+    new = lambda i: F.when(i > 0, F.get(ends, i - 1) + len(CLOSE)).otherwise(F.lit(0).cast("long"))
+    each = F.transform("examples", lambda e, i: F.struct(i.alias("no"), new(i).alias("new"), e["loss_start"].alias("start"), e["loss_end"].alias("end")))
+    n, size = F.size("examples"), F.length("formatted").cast("long")
+    rest = F.struct(n.alias("no"), new(n).alias("new"), F.lit(None).cast("long").alias("start"), size.alias("end"))
+    rows = done.select("conv", "formatted", F.explode(F.concat(each, F.array(rest))).alias("e")).select("conv", "e.*", _written(F.col("e.end")).alias("text"))
+
+    def cut(start: Column) -> Column:
+        return F.substring("text", (start + 1).cast("int"), (F.col("end") - start).cast("int"))
+
+    is_example = F.col("start").isNotNull()
     line = lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))
-    read = done.select("conv", "formatted", F.size("parts").alias("n"), F.transform("parts", lambda p: line(_turn(p))).alias("lines"), F.array_join(F.transform("examples", reply), "").alias("loss"))
-    return read.select(
+    parts = _parts(F.concat(cut(F.col("new")), F.when(is_example, CLOSE).otherwise("")))
+    read = rows.select("conv", "no", parts.alias("parts"), F.when(is_example, unescape(cut(F.col("start")))).otherwise("").alias("reply"), F.length("text").alias("chars"))
+    piece = F.struct("no", F.array_join(F.transform("parts", lambda p: line(_turn(p))), "").alias("lines"), "reply")
+    whole = read.groupBy("conv").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(F.size("parts")).alias("n"), F.max("chars").alias("chars"))
+    joined = whole.select("conv", "n", "chars", F.array_join("pieces.lines", "").alias("lines"), F.array_join("pieces.reply", "").alias("loss"))
+    return joined.select(
         "conv.conv_id",
         F.col("n").cast("long").alias("n_turns"),
-        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("turns_sha256"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").cast("long").alias("formatted_chars"),
     )

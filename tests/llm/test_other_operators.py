@@ -285,6 +285,19 @@ def test_chat_examples_and_digest(spark):
     assert chat_format.digest(df.limit(0)).count() == 0 and chat_format.examples(df.limit(0)).count() == 0
 
 
+def test_chat_digest_reads_written_examples(spark, monkeypatch):
+    """What the written contexts and replies say decides the digests."""
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", "one"), ("assistant", "two"), ("user", "six"), ("assistant", "ten"), ("user", "end")])] + [(2, 0, "user", "one")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    written = chat_format._written
+    for old, new in (("", ""), ("one", "ONE"), ("ten", "TEN"), ("end", "END")):
+        monkeypatch.setattr(chat_format, "_written", lambda end, old=old, new=new: F.replace(written(end), F.lit(old), F.lit(new)))
+        for r in chat_format.digest(df).collect():
+            said = [(role, t.replace(old, new)) for c, _, role, t in rows if c == r["conv_id"]]
+            assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in said).encode()).hexdigest()
+            assert r["loss_sha256"] == hashlib.sha256("".join(t for role, t in said if role == "assistant").encode()).hexdigest() and r["n_turns"] == len(said)
+
+
 def test_one_long_conversation(spark):
     """Thousands of turns in one conversation cost no more than as many in many."""
     df = spark.range(6000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' é<s>', 40)) AS text")
