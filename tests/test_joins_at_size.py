@@ -15,6 +15,7 @@ from tests.fixtures import nested_loop
 SPREAD = [
     "sp_sql_join_overlaps",
     "sp_sql_join_touches",
+    "sp_sql_join_equals",
 ]
 
 
