@@ -16,6 +16,7 @@ SPREAD = [
     "sp_sql_join_overlaps",
     "sp_sql_join_touches",
     "sp_sql_join_equals",
+    "sp_sql_join_buffer",
 ]
 
 
