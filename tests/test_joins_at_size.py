@@ -17,6 +17,7 @@ SPREAD = [
     "sp_sql_join_touches",
     "sp_sql_join_equals",
     "sp_sql_join_buffer",
+    "sp_join_boxes",
 ]
 
 
