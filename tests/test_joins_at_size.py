@@ -18,6 +18,7 @@ SPREAD = [
     "sp_sql_join_equals",
     "sp_sql_join_buffer",
     "sp_join_boxes",
+    "sp_sql_join_three",
 ]
 
 
