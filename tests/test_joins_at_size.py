@@ -19,6 +19,7 @@ SPREAD = [
     "sp_sql_join_buffer",
     "sp_join_boxes",
     "sp_sql_join_three",
+    "sp_sql_join_crosses",
 ]
 
 
