@@ -20,6 +20,7 @@ SPREAD = [
     "sp_join_boxes",
     "sp_sql_join_three",
     "sp_sql_join_crosses",
+    "sp_join_contains_wkb",
 ]
 
 
