@@ -21,6 +21,7 @@ SPREAD = [
     "sp_sql_join_three",
     "sp_sql_join_crosses",
     "sp_join_contains_wkb",
+    "sp_sql_join_derived",
 ]
 
 
