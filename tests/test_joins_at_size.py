@@ -22,6 +22,7 @@ SPREAD = [
     "sp_sql_join_crosses",
     "sp_join_contains_wkb",
     "sp_sql_join_derived",
+    "sp_sql_join_cte",
 ]
 
 
