@@ -59,3 +59,13 @@ def test_sides_that_vary_are_read_once(spark):
     joined = op.spatial_join(some, b, "within", Wkb("ag"), Wkb("bg"), "left")
     assert joined.select("aid").distinct().count() == 90
     assert sorted(map(str, joined.where("bid IS NOT NULL").drop("ag", "bg").collect())) == sorted(map(str, nested_loop(joined.select(a.columns).distinct(), b, "within", Wkb("ag"), Wkb("bg")).drop("ag", "bg").collect()))
+
+
+def test_operand_of_both_sides(spark, sf):
+    a, b = sides(spark, 300, 40)
+    text = "ST_Area(ST_Envelope(ST_Union(ag, bg))) < 9.5D"
+    got = op.pair_join(a, b, Wkb("ag"), Wkb("bg"), F.expr(text)).drop("ag", "bg")
+    want = a.join(b, F.expr(text)).drop("ag", "bg")
+    assert got.count() > 100 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = QUERIES["sp_both_sides_operand"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__aid" in plan and "hashpartitioning(__bid" in plan
